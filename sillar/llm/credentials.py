@@ -222,6 +222,7 @@ def analyse(line: str, config: bool) -> tuple[list[tuple[int, int]], list[list[s
             where = "scheme"
         elif quote and key:
             where = "kv-" + name_class(key)
+            key = ""
         elif env and call and _READ.search(call) and args == 0:
             where = "envname"
         elif reads:
@@ -432,7 +433,7 @@ def _harmless(value: str, features: list[str]) -> bool:
     """Exact check after the labels: placeholders, and plain words, paths or dates where no name or place asks for a secret."""
     if "placeholder" in features and "in=url" not in features:
         return True
-    plain = next((f for f in features if f.startswith("kind=")), "") in _PLAIN_KINDS
+    plain = any(f in _PLAIN_KINDS for f in shape(value.rstrip(".,;:!?")))
     return plain and not any(f in _SURE for f in features)
 
 
