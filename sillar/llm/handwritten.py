@@ -29,6 +29,8 @@ DIMS, SKETCH, SHINGLE = 1 << 14, 64, 5
 SAMPLE = 1500
 #: rounds of relabelling, and the margin from which a file without a notice joins the kind it looks like
 ROUNDS, RELABEL = 3, -0.25
+#: margin from which a file counts; below 0 as the training labels lack cases without a notice, which pushes margins down
+THRESHOLD = -0.4
 
 # How a tool's or a library's notice at the head of a file begins.
 NOTICE = re.compile(
@@ -38,7 +40,7 @@ BANNER = re.compile(r"^\s*(?:<\?php\s*)?(?:/\*!|//!|\#!?)?[^\n]*\bv\d+\.\d+(?:\.
 
 _HEAD = re.compile(r"\A(?:\s*(?:#![^\n]*\n|<\?php\b|//[^\n]*\n?|\#(?!\s*(?:include|define|if|pragma|region))[^\n]*\n?|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''))*")
 _WORD = re.compile(r"\w+")
-_DATA_LINE = re.compile(r"""^[\s"'`(\[{]*(?:[A-Za-z0-9+/=_\\-]{40,}["'`)\]};,.+\s]*|(?:["'\w-]+\s*:\s*)?[\[{(]?\s*(?:[-+]?(?:0x)?[\da-fA-F.]+[\s,\]})]*){3,}[;,]?|(?:\\x[\da-f]{2})+["',;]*)\s*$""")
+_DATA_LINE = re.compile(r"""^[\s"'`(\[{.+]*(?:[A-Za-z0-9+/=_\\-]{40,}["'`)\]};,.+\s]*|(?:["'\w-]+\s*:\s*)?[\[{(]?\s*(?:[-+]?(?:0x)?[\da-fA-F.]+[\s,\]})]*){3,}[;,]?|(?:\\x[\da-f]{2})+["',;]*)\s*$""")
 
 
 def head(text: str) -> str:
@@ -273,7 +275,7 @@ def classify(files: DataFrame, ext_languages: DataFrame, sample: int = SAMPLE) -
     """((project_id, path, kind, margin, overlap) of every source file, figures on held-out repositories).
 
     kind: the one with the largest margin, '' for hand-written files (no margin
-    above 0).  Repeated rows of a file count once, the latest wins; null contents
+    above THRESHOLD).  Repeated rows of a file count once, the latest wins; null contents
     and paths and other extensions give no row; a file with an empty text is
     hand-written unless its path says otherwise by itself.
     """
@@ -290,7 +292,7 @@ def classify(files: DataFrame, ext_languages: DataFrame, sample: int = SAMPLE) -
     both = scored.join(known.select(F.col("project_id").alias("_p"), F.col("path").alias("_f"), "overlap"), F.col("project_id").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f"))).drop("_p", "_f")
     both = both.withColumn("margins", F.zip_with("margins", shifts, lambda a, b: a + b)).withColumn("margin", F.array_max("margins"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    kind = F.when(F.col("margin") > 0, F.element_at(kinds, F.array_position("margins", F.col("margin")).cast("int"))).otherwise("")
+    kind = F.when(F.col("margin") > THRESHOLD, F.element_at(kinds, F.array_position("margins", F.col("margin")).cast("int"))).otherwise("")
     return both.select(*_KEYS, kind.alias("kind"), F.round("margin", 6).alias("margin"), F.round("overlap", 6).alias("overlap")), figures
 
 
