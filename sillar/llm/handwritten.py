@@ -26,7 +26,7 @@ from sillar.sources.tables import extension, spread
 KINDS = ("generated", "minified", "vendored", "data")
 DIMS, SKETCH, SHINGLE = 1 << 14, 64, 5
 #: bound on the labelled sample a classifier is fitted on, per label
-SAMPLE = 1500
+SAMPLE = 600
 #: rounds of relabelling, and the margin from which a file without a notice joins the kind it looks like
 ROUNDS, RELABEL = 3, -0.25
 #: margin from which a file counts; below 0 as the training labels lack cases without a notice, which pushes margins down
@@ -176,7 +176,7 @@ DUP_EDGES = (0.15, 0.35, 0.55, 0.8)
 def with_overlap(idx, val, overlap: float):
     """The features with the overlap's bucket."""
     k = DIMS // 2 + zlib.crc32(f"overlap={_bucket(overlap, DUP_EDGES)}".encode()) % (DIMS // 2)
-    return np.append(idx, k), np.append(val, 0.6)
+    return np.append(idx, idx.dtype.type(k)), np.append(val, val.dtype.type(0.6))
 
 
 _KEYS = ["project_id", "path"]
@@ -237,7 +237,7 @@ def fit(files: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[Svm,
     texts = files.select(*_KEYS, "content").join(F.broadcast(chosen), _KEYS)  # at most about seven samples of short rows
     rows = texts.mapInPandas(_featurise, "project_id string, path string, shown string, overlap double, idx binary, val binary").toPandas()
     rows = rows.drop_duplicates(_KEYS).sort_values(_KEYS, kind="stable")
-    x = [with_overlap(np.frombuffer(i, dtype=np.int16).astype(np.int64), np.frombuffer(v, dtype=np.float16).astype(float), o) for i, v, o in zip(rows["idx"], rows["val"], rows["overlap"])]
+    x = [with_overlap(np.frombuffer(i, dtype=np.int16).astype(np.int32), np.frombuffer(v, dtype=np.float16).astype(np.float32), o) for i, v, o in zip(rows["idx"], rows["val"], rows["overlap"])]
     y = rows["shown"].tolist()
     if not y:
         return Svm(np.zeros((len(KINDS), DIMS)), np.full(len(KINDS), -1.0)), {}
