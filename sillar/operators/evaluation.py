@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sillar.functions.text import strip
+
 # What a rating may say.
 CORRECT = ["si", "parcial", "no", "no_se"]
 
@@ -66,8 +68,8 @@ def warnings() -> Column:
 def studies(asks: DataFrame) -> DataFrame:
     """One row per study with what validation needs."""
     rated = F.col("rating").isNotNull()
-    q = F.lower(F.trim(F.coalesce("pregunta", F.lit(""))))
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    q = F.lower(strip(F.coalesce("pregunta", F.lit(""))))
+    blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
     fast = (F.col("answer_tokens") >= 50) & (F.col("answer_seconds") > 0) & (F.col("answer_tokens") / F.col("answer_seconds") > 400)
     return asks.where("study_id is not null").groupBy("study_id").agg(
         F.count("*").alias("questions"), F.countDistinct(q).alias("distinct_questions"), F.count_if(rated).alias("ratings"),

@@ -66,7 +66,7 @@ def hybrid(questions: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame
     info = chunks.select("chunk_id", "project_id", "file_path", "chunk_type", "name", F.col("embedding").alias("_v"))
     q = questions.select("question_id", "project_id", F.col("embedding").alias("_q"), P.asks_tests(F.col("text")).alias("_tests"))
     rows = both.join(q, "question_id").join(info, ["project_id", "chunk_id"])
-    exact = F.coalesce("distance", F.round(cosine_distance(F.col("_q"), F.col("_v")), 9))
+    exact = cosine_distance(F.col("_q"), F.col("_v"))
     score = exact - F.coalesce("bonus", F.lit(0.0)) + F.when(P.is_test(F.col("file_path")) & ~F.col("_tests"), TEST_PENALTY).otherwise(0.0)
     w = Window.partitionBy("question_id").orderBy("distance", "chunk_id")
     return rows.select("question_id", "chunk_id", "file_path", "chunk_type", "name", F.round(score, 6).alias("distance")).withColumn("rank", F.row_number().over(w))

@@ -82,7 +82,7 @@ def _vectors(spark, d):
 
 def knn_top20(spark, d):
     q, e = _vectors(spark, d)
-    return retrieval.knn(q, e, 20, "query_id", "vec_id", "embedding").select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
+    return retrieval.knn(q, e, 20, "query_id", "vec_id", "embedding").select("query_id", "vec_id", (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
 
 
 def knn_metrics(spark, d):
@@ -115,12 +115,12 @@ def _questions(spark, d):
 
 def hybrid_retrieval(spark, d):
     ranked = retrieval.hybrid(_questions(spark, d), corpus.chunks(spark, d))
-    return ranked.select("question_id", "chunk_id", F.round("distance", 4).alias("distance"))
+    return ranked.select("question_id", "chunk_id", (F.col("distance") + F.lit(0.0)).alias("distance"))
 
 
 def adaptive_context(spark, d):
     ranked = retrieval.hybrid(_questions(spark, d), corpus.chunks(spark, d))
-    return retrieval.adaptive_cut(ranked).select("question_id", "chunk_id", "file_path", F.round("distance", 4).alias("distance"))
+    return retrieval.adaptive_cut(ranked).select("question_id", "chunk_id", "file_path", (F.col("distance") + F.lit(0.0)).alias("distance"))
 
 
 def identifier_matches(spark, d):
