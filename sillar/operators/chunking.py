@@ -85,7 +85,7 @@ def _braces(text: str, language: str) -> list[tuple[str, str, int, int]]:
             continue
         if c == "{":
             head = blank[last:at]
-            flat = head.strip()
+            flat = head.strip()[-2000:]  # a header's end tells what it is
             kind = name = None
             t = _TYPE.search(flat) or _GO_TYPE.search(flat)
             a = _ASSIGNED.search(flat)
