@@ -85,7 +85,7 @@ def shape(v: str) -> tuple[str, ...]:
         kind = "name"
     elif re.fullmatch(r"[\w.-]+\.(?:com|net|org|io|dev|local|internal|invalid|example|test|json|ya?ml|py|js|ts|go|rs|java|c|h|cs|php|pem|txt|md|html|png|svg)(?:/\S*)?", v):
         kind = "host"
-    elif re.search(r"[*+?^$\\]\S*[\[({]|\\[dwsb]|\[[A-Za-z\d]-[A-Za-z\d]|\{\d+,?\d*\}", v):
+    elif n < 200 and re.search(r"[*+?^$\\]\S*[\[({]|\\[dwsb]|\[[A-Za-z\d]-[A-Za-z\d]|\{\d+,?\d*\}", v):
         kind = "regex"
     elif re.fullmatch(r"[A-Z]{2,6}[A-Z0-9]{12,30}", v) and dig:
         kind = "upper"
@@ -244,13 +244,13 @@ def analyse(line: str, config: bool) -> tuple[list[tuple[int, int]], list[list[s
         if name:
             f.append(f"name={name_class(name)}|{kind}")
         if quote:
-            before, after = line[:a].rstrip(), line[b:].lstrip()
+            before, after = line[max(0, a - 9) : a].rstrip(), line[b : b + 9].lstrip()
             f.append("whole" if before.endswith(quote) and after.startswith(quote) else "part")
             if f[-1] == "part":
                 f.append(f"part|{kind}")
         if nxt == "@" and where == "url":
             f.append("before@")
-        if joined or (last_value >= 0 and re.fullmatch(r"""["'`]?\s*[+.,]?\s*["'`]?""", line[last_value:a]) and re.search(r"[\"'`]", line[last_value:a])):
+        if joined or (0 <= last_value and a - last_value < 40 and re.fullmatch(r"""["'`]?\s*[+.,]?\s*["'`]?""", line[last_value:a]) and re.search(r"[\"'`]", line[last_value:a])):
             f.append("joined")
         f.append("bias")
         if w.lower() in ("bearer", "basic", "token") and kind == "kind=word":
@@ -467,15 +467,15 @@ def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
         inside = at_skip < len(skip) and skip[at_skip][0] < end
         line = raw.rstrip("\r")
         goes_on, carried_was = False, carried
-        if not inside and line and (carried or (len(line) < 20_000 and _CANDIDATE.search(line))) and not (_BLOB.match(line) and not carried):
+        if not inside and line and (carried or _CANDIDATE.search(line)) and not (_BLOB.match(line) and not carried):
             spans, feats = analyse(line, config)
             if spans:
                 labels = crf.viterbi(feats)
                 current = 0
-                for (a, b), y in zip(spans, labels):
-                    if y == O or _harmless(line[a:b], feats[spans.index((a, b))]):
+                for (a, b), y, f in zip(spans, labels, feats):
+                    if y == O or _harmless(line[a:b], f):
                         continue
-                    first = carried_was and not line[:a].strip(" \t\"'`+.,&(")
+                    first = carried_was and a < 200 and not line[:a].strip(" \t\"'`+.,&(")
                     if y == B or not current:
                         current = carried_was if first else no
                     out.append((current, begin + a, begin + b))

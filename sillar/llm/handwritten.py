@@ -40,7 +40,7 @@ BANNER = re.compile(r"^\s*(?:<\?php\s*)?(?:/\*!|//!|\#!?)?[^\n]*\bv\d+\.\d+(?:\.
 
 _HEAD = re.compile(r"\A(?:\s*(?:#![^\n]*\n|<\?php\b|//[^\n]*\n?|\#(?!\s*(?:include|define|if|pragma|region))[^\n]*\n?|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''))*")
 _WORD = re.compile(r"\w+")
-_DATA_LINE = re.compile(r"""^[\s"'`(\[{.+]*(?:[A-Za-z0-9+/=_\\-]{40,}["'`)\]};,.+\s]*|(?:["'\w-]+\s*:\s*)?[\[{(]?\s*(?:[-+]?(?:0x)?[\da-fA-F.]+[\s,\]})]*){3,}[;,]?|(?:\\x[\da-f]{2})+["',;]*)\s*$""")
+_DATA_LINE = re.compile(r"""^[\s"'`(\[{.+]*(?:[A-Za-z0-9+/=_\\-]{40,}["'`)\]};,.+\s]*|(?:["'\w-]+\s*:\s*)?[\[{(]?\s*(?:[-+]?(?:0x)?[\da-fA-F.]+(?:[\s,\]})]+|(?=[;,]?\s*$))){3,}[;,]?|(?:\\x[\da-f]{2})+["',;]*)\s*$""")
 
 
 def head(text: str) -> str:
@@ -60,8 +60,8 @@ def layout(body: str) -> dict[str, float]:
     n = max(1, len(body))
     filled = [x for x in lines if x.strip()]
     longest = max(map(len, lines), default=0)
-    data = sum(len(x) for x in filled if len(x) < 5000 and _DATA_LINE.match(x)) / n
-    shapes = [re.sub(r"[A-Za-z_]\w*|\d+", "w", x.strip()) for x in filled[:2000]]
+    data = sum(len(x) for x in filled if _DATA_LINE.match(x)) / n
+    shapes = [re.sub(r"[A-Za-z_]\w*|\d+", "w", x.strip()) for x in filled]
     return {
         "mean": n / max(1, len(lines)),
         "longest": longest,

@@ -95,8 +95,8 @@ def clean_source(c) -> F.Column:
 
 def sized(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     """(doc_id, source, tokens) of every document with a text; one row per doc_id."""
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", clean_source(F.col("source")).alias("source"), "text")
-    return spread(docs, "doc_id").select("doc_id", "source", count_tokens(folder=folder)("text").alias("tokens")).where("tokens > 0").dropDuplicates(["doc_id"])
+    docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", clean_source(F.col("source")).alias("source"), "text")
+    return spread(docs, "doc_id").select("doc_id", "source", count_tokens(folder=folder)("text").alias("tokens")).dropDuplicates(["doc_id"])
 
 
 def mixture(documents: DataFrame, source_targets: DataFrame, total: float | None = None, folder: str = FOLDER) -> DataFrame:

@@ -22,15 +22,15 @@ def _ops(words: str) -> str:
 
 
 _C_OPS = _ops("+ - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= == != <= >= && || ++ -- << >>= <<= -> ... :: ## #")
-_C_NUM = r"(?:0[xX][\da-fA-F']+(?:\.[\da-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*\.?[\d']*|\.\d[\d']*)(?:[eE][+-]?\d+)?)[uUlLfFzZ]{0,4}(?!\w)"
+_C_NUM = r"(?:0[xX][\da-fA-F']+(?:\.[\da-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*(?:\.[\d']*)?|\.\d[\d']*)(?:[eE][+-]?\d+)?)[uUlLfFzZ]{0,4}(?!\w)"
 
 #: language: (skipped, number, string, character, operators)
 _FORMS = {
     "c": (rf"\s+|//[^\n]*|{_BLOCK}|\\\r?\n", _C_NUM, rf"(?:u8|[uUL])?{_DQ}", r"(?:u8|[uUL])?'(?:[^'\\\n]|\\[^\n]){1,4}'|(?:u8|[uUL])?'\\[xuU][\da-fA-F]+'", _C_OPS),
     "cpp": (rf"\s+|//[^\n]*|{_BLOCK}|\\\r?\n", _C_NUM, rf'(?:u8|[uUL])?R"(?P<raw>[^()\s\\]{{0,16}})\([\s\S]*?\)(?P=raw)"|(?:u8|[uUL])?{_DQ}', r"(?:u8|[uUL])?'(?:[^'\\\n]|\\[^\n]){1,4}'|(?:u8|[uUL])?'\\[xuU][\da-fA-F]+'", _ops("<=> ->* .*") + "|" + _C_OPS),
-    "java": (rf"\s+|//[^\n]*|{_BLOCK}", r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?(?!\w)", rf'"""[^"\\]*(?:(?:\\[\s\S]|"(?!""))[^"\\]*)*"""|{_DQ}', r"'(?:[^'\\\n]|\\u+[\da-fA-F]{4}|\\[0-7]{1,3}|\\.)'", _ops("+ - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= == != <= >= && || ++ -- << <<= -> ... :: @")),
+    "java": (rf"\s+|//[^\n]*|{_BLOCK}", r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?(?!\w)", rf'"""[^"\\]*(?:(?:\\[\s\S]|"(?!""))[^"\\]*)*"""|{_DQ}', r"'(?:[^'\\\n]|\\u+[\da-fA-F]{4}|\\[0-7]{1,3}|\\.)'", _ops("+ - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= == != <= >= && || ++ -- << <<= -> ... :: @")),
     "c_sharp": (rf"\s+|//[^\n]*|{_BLOCK}", r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)(?:[uU]?[lL]?|[lL][uU]|[fFdDmM])(?!\w)", rf'\$*"""[\s\S]*?"{{3,}}|(?:\$@|@\$|@)"[^"]*(?:""[^"]*)*"|\$"[^"\\{{\n]*(?:(?:\\.|\{{\{{|\{{[^{{}}\n]*\}})[^"\\{{\n]*)*"|{_DQ}', r"'(?:[^'\\\n]|\\[xuU][\da-fA-F]+|\\.)'", _ops("+ - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= == != <= >= && || ++ -- << <<= -> => ?? ??= :: ?. .. #")),
-    "go": (rf"[ \t\r]+|//[^\n]*|{_BLOCK}", r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?(?!\w)", rf"{_DQ}|`[^`]*`", r"'(?:[^'\\\n]|\\[xuU][\da-fA-F]+|\\[0-7]{3}|\\.)'", _ops("+ - * / % & | ^ ! ~ < > = : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= &^ &^= == != <= >= && || ++ -- << >> <<= >>= <- := ...")),
+    "go": (rf"[ \t\r]+|//[^\n]*|{_BLOCK}", r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?(?!\w)", rf"{_DQ}|`[^`]*`", r"'(?:[^'\\\n]|\\[xuU][\da-fA-F]+|\\[0-7]{3}|\\.)'", _ops("+ - * / % & | ^ ! ~ < > = : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= &^ &^= == != <= >= && || ++ -- << >> <<= >>= <- := ...")),
     "rust": (rf"\s+|//[^\n]*", r"(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![._\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)", r'[bc]?r(?P<hash>#*)"[\s\S]*?"(?P=hash)|[bc]?"[^"\\]*(?:\\[\s\S][^"\\]*)*"', r"b?'(?:[^'\\\n]|\\u\{[\da-fA-F_]+\}|\\x[\da-fA-F]{2}|\\.)'", _ops("+ - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } += -= *= /= %= &= |= ^= == != <= >= && || << <<= -> => :: .. ... ..= @ # $")),
 }
 
@@ -223,7 +223,7 @@ def _lex_python(text, terms):
 
 # --- JavaScript, TypeScript -------------------------------------------------
 
-_JS_NUM = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])"
+_JS_NUM = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])"
 _JS_OPS = _ops("+ - * ** / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } += -= *= **= /= %= &= |= ^= == != === !== <= >= && || ?? &&= ||= ??= ++ -- << <<= ?. ... => @")
 _JS = re.compile(
     rf"(?P<skip>(?:[ \t\f\v\u00a0\ufeff]+|//[^\n]*|{_BLOCK}|<!--[^\n]*|\s)+)|(?P<id>\#?(?:[^\W\d]|\$|\\u[\da-fA-F]{{4}})(?:[\w$]|\\u[\da-fA-F]{{4}})*)|(?P<num>{_JS_NUM})|(?P<str>{_DQ}|{_SQ})|(?P<tpl>`)|(?P<op>{_JS_OPS})|(?P<bad>[\s\S])"
