@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,24 +30,37 @@ LEAVES, ROUNDS, SEED = 48, 4, 5
 SHARE, LEAST = 0.22, 2
 
 _SPLIT = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"\w{3,}")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 _UNIT = re.compile(r"(?<=[.!?。！？;])\s+|\n+")
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|import|from|const|let|var|func|fn|pub|use|package|return|public|private|static|if|for|while|else|elif|try|namespace|using|#include|#define|template)\b.*[:;{(]?|\w\(.*\)|:=|=>|->|^\s*[\w.$\[\]]+\s*=\s*\S", re.I)
 
 
+@lru_cache(maxsize=200_000)
+def split_word(token: str) -> tuple[str, ...]:
+    """The words of an identifier, case and accents gone; short ones and figures left out."""
+    flat = unicodedata.normalize("NFKD", _CAMEL.sub(" ", token)).casefold()
+    return tuple(w for w in _SPLIT.findall("".join(c for c in flat if not unicodedata.combining(c))) if len(w) > 2 and not w.isdigit())
+
+
 def words(text: str) -> list[str]:
-    """Words of a text: identifiers split, case and accents gone."""
-    text = unicodedata.normalize("NFKD", _CAMEL.sub(" ", unicodedata.normalize("NFC", text))).casefold()
-    return [w for w in _SPLIT.findall("".join(c for c in text if not unicodedata.combining(c))) if len(w) > 2 and not w.isdigit()]
+    """Words of a text in composed form: identifiers split, case and accents gone."""
+    return [w for t in _TOKEN.findall(text) for w in split_word(t)]
+
+
+def cut(text: str) -> tuple[bool, list[str]]:
+    """(whether it is source code, its sentences or lines)."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    code = len(lines) > 3 and sum(x.rstrip()[-1:] in ";{}" or bool(_CODE_LINE.search(x)) for x in lines) > 0.55 * len(lines)
+    return code, lines if code else _UNIT.split(text)
 
 
 def units(text: str) -> tuple[bool, list[list[str]]]:
     """(whether it is source code, the words of each sentence or line)."""
-    text = "".join(c for c in text if c >= " " or c in "\n\t")
-    lines = [x for x in text.split("\n") if x.strip()]
-    code = len(lines) > 3 and sum(bool(_CODE_LINE.search(x)) for x in lines) > 0.55 * len(lines)
-    parts = lines if code else _UNIT.split(text)
-    return code, [w for w in (words(p) for p in parts) if w]
+    code, parts = cut(text)
+    return code, [w for w in map(words, parts) if w]
 
 
 class Model:
@@ -54,33 +68,41 @@ class Model:
 
     def __init__(self, subjects: list[str], terms: dict[str, np.ndarray], leaves: list[tuple[str, list[str], int]]):
         self.subjects, self.terms, self.leaves = subjects, terms, leaves
+        self.known: dict[str, list[np.ndarray]] = {}
 
     def mixture(self, text: str | None) -> tuple[bool, np.ndarray, int, float]:
         """(code, sentences or names per subject, sentences that speak of any, sentences)."""
+        got = np.zeros(len(self.subjects))
         if not text or not text.strip():
-            return False, np.zeros(len(self.subjects)), 0, 0
-        code, parts = units(text)
-        got, said = np.zeros(len(self.subjects)), 0
-        get = self.terms.get
-        whole = np.zeros(len(self.subjects))
-        held = []
+            return False, got, 0, 0
+        code, parts = cut(text)
+        known, find = self.known, _TOKEN.findall
+        held, n = [], 0
         for part in parts:
-            hits = [t for t in map(get, part) if t is not None]
-            if not hits:
-                continue
-            score = hits[0].copy()
-            for t in hits[1:]:
-                score += t
-            held.append((score, len(hits)))
-            whole += np.exp(np.minimum(score, 6) - 6)
-        prior = np.log(whole / max(whole.sum(), 1e-9) + 0.02) if held else whole
-        for score, n in held:
-            s = score + 0.7 * prior  # a shared term goes with what the document speaks of
-            k = int(s.argmax())
-            if score[k] > 1.0:
-                got[k] += n if code else 1
-                said += n if code else 1
-        return code, got, said, len(parts)
+            tokens = find(part)
+            n += bool(tokens)
+            hits = []
+            for t in tokens:
+                v = known.get(t)
+                if v is None:
+                    v = known[t] = [self.terms[w] for w in split_word(t) if w in self.terms]
+                    if len(known) > 200_000:
+                        known.clear()
+                if v:
+                    hits += v
+            if hits:
+                held.append((sum(hits), len(hits)))
+        if not held:
+            return code, got, 0, n
+        scores = np.stack([x[0] for x in held])
+        whole = np.exp(np.minimum(scores, 6) - 6).sum(axis=0)
+        prior = np.log(whole / max(whole.sum(), 1e-9) + 0.02)
+        # a shared term goes with what the document speaks of
+        best = (scores + 0.7 * prior).argmax(axis=1)
+        sure = scores[np.arange(len(best)), best] > 1.0
+        weight = np.array([x[1] if code else 1 for x in held])[sure]
+        np.add.at(got, best[sure], weight)
+        return code, got, int(weight.sum()), n
 
     def assign(self, text: str | None) -> list[str]:
         _, got, said, _ = self.mixture(text)
