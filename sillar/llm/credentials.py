@@ -28,8 +28,8 @@ TRAINING_LINES, SEED = 5000, 11
 # Parts of names that say a value is secret, or that it is not.
 SECRET = r"pass(?:word|wd|phrase|code)?s?|pwd|pw|passwort|kennwort|contrase[nñ]a|contrasenia|senha|clave(?:s)?|secret[oa]?s?|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|signing[_-]?(?:key|salt)|salt|session[_-]?key|encryption[_-]?key|auth(?:orization|oriz)?|cred(?:ential|encial)?(?:s|es)?|bearer|webhook|jwt|pin|otp|llave|chave|motdepasse|mdp|signature[_-]?key|master[_-]?key|account[_-]?key|hmac"
 NOT_SECRET = r"hash|sha\d*|digest|checksum|revision|commit|etag|uuid|guid|tenant|request[_-]?id|trace[_-]?id|build|version|integrity|fingerprint|public|pub[_-]?key|verify|cert(?:ificate)?|anchor|icon|image|img|logo|pattern|regex|regexp|column|field[_-]?name|key[_-]?name|header[_-]?name|placeholder|prefix|suffix|path|file|url[_-]?path|md5|crc|nonce[_-]?name|locale|charset|format|template|label|title|message|msg|help|description|tokenizer|max[_-]?tokens|num[_-]?tokens|token[_-]?(?:limit|count|mode|size|type|level|path|url|length)|keyboard|keyword|primary[_-]?key|foreign[_-]?key|author"
-_SECRET = re.compile(rf"(?:^|[_\-.\s]|(?<=[a-z])(?=[A-Z]))(?:{SECRET})(?:$|[_\-.\s\d]|(?=[A-Z]))|(?:{SECRET.replace('|pin|', '|').replace('|otp|', '|').replace('|pw|', '|').replace('salt|', '').replace('|auth(', '|authorization|auth(')})(?:[_\-]?[a-z]?\d*)?$", re.I)
-_NOT = re.compile(rf"(?:^|[_\-.\s\d]|(?<=[a-z])(?=[A-Z]))(?:{NOT_SECRET})(?:$|[_\-.\s\d]|(?=[A-Z]))|(?:digest|checksum|integrity|revision|commit|etag|fingerprint)\w{{0,3}}$", re.I)
+_SECRET = re.compile(rf"(?:^|[_\-.\s]|(?<=(?-i:[a-z]))(?=(?-i:[A-Z])))(?:{SECRET})(?:$|[_\-.\s\d]|(?=(?-i:[A-Z])))|(?:{SECRET.replace('|pin|', '|').replace('|otp|', '|').replace('|pw|', '|').replace('salt|', '').replace('|auth(', '|authorization|auth(')})(?:[_\-]?[a-z]?\d*)?$", re.I)
+_NOT = re.compile(rf"(?:^|[_\-.\s\d]|(?<=(?-i:[a-z]))(?=(?-i:[A-Z])))(?:{NOT_SECRET})(?:$|[_\-.\s\d]|(?=(?-i:[A-Z])))|(?:digest|checksum|integrity|revision|commit|etag|fingerprint)\w{{0,3}}$", re.I)
 # Names of calls that read a setting, and that open a session.
 _READ = re.compile(r"(?:get_?env|env(?:_get|_or)?|environ|lookup_?env|env_?var|var|setting|config(?:_get)?|secret|vault|read_?secret|get_?secret|System\.getProperty|get_?property|get_?string|getParameter|resolve)$", re.I)
 _LOGIN = re.compile(r"(?:log_?in|sign_?in|connect|authenticate|auth|open_?\w*|login_?\w*|with_?(?:password|token|credentials)|set_?(?:password|token|key)|credentials?|basic_?auth|bind|logon|iniciar\w*|conectar|unlock|decrypt)$", re.I)
