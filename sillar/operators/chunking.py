@@ -86,8 +86,14 @@ def _braces(text: str, language: str) -> list[tuple[str, str, int, int]]:
         if c == "{":
             head = blank[last:at]
             flat = head.strip()[-2000:]  # a header's end tells what it is
+            if language == "go":  # no marks end its statements: the header is the last line, or as many as close its parentheses
+                at_line = flat.rfind("\n") + 1
+                while at_line and flat.count(")", at_line) > flat.count("(", at_line):
+                    at_line = flat.rfind("\n", 0, at_line - 1) + 1
+                last += len(head.rstrip()) - len(flat) + at_line
+                head, flat = blank[last:at], flat[at_line:]
             kind = name = None
-            t = _TYPE.search(flat) or _GO_TYPE.search(flat)
+            t = _GO_TYPE.search(flat) if language == "go" else _TYPE.search(flat)
             a = _ASSIGNED.search(flat)
             if t and "(" not in flat[: t.start()]:
                 kind, name = "class", t.groups()[-1]
