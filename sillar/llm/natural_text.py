@@ -84,6 +84,8 @@ def word_scores(word: str) -> tuple[tuple[float, ...], bool]:
     """(score in each of LANGS, whether it is a frequent word); all negative for what is no word."""
     w = word.lower()
     first = w[0]
+    if len(w) > 40:
+        return (-4.0,) * len(LANGS), False
     if "Ѐ" <= first <= "ӿ":
         foreign = any(c in "іїєґўјљњћџђ" for c in w)
         return tuple(1.0 if k == "ru" and not foreign else -4.0 for k in LANGS), not foreign

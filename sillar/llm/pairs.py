@@ -58,6 +58,9 @@ _SOURCE = re.compile(r"^\s*(?:[-*•+]\s*|\d+[.)]\s*)?[`\"(\[]?[\w./\\-]*(?:/|\.
 _MID = re.compile(r"(?:[,;:({\[–—/&+=\-]|\b(?:the|a|an|of|to|and|or|in|is|are|that|with|for|by|on|el|la|los|las|un|una|de|del|en|y|o|que|con|por|para|se|no|si|su|al|os|as|um|uma|do|da|e|em|le|les|des|du|et|ou|der|die|das|und|oder|zu))$", re.I)
 
 
+_NAME = re.compile(r"[/\\_]|^\W*\w+\.\w{1,4}[,;:)]*$")
+
+
 def plain(text: str) -> str:
     """Lower case, accents and marks gone, blanks collapsed: what a respelling keeps."""
     text = unicodedata.normalize("NFKD", html.unescape(text)).casefold()
@@ -65,6 +68,11 @@ def plain(text: str) -> str:
     return " ".join(re.findall(r"\w+", text.replace("_", " ")))
 
 
+def _is_source(line: str) -> bool:
+    """A path with its lines and nothing else."""
+    return len(line) < 400 and bool(_SOURCE.match(line))
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
@@ -170,7 +178,7 @@ def prose(answer: str) -> str:
     text = _FENCED.sub("\n", answer)
     text = html.unescape(_TAG.sub(" ", text))
     text = re.sub(r"`[^`\n]*`?", " ` ", text)
-    return re.sub(r"https?://\S+|\S*[/\\_]\S+|\b\w+\.\w{1,4}\b(?=[\s,;:)]|$)", " ` ", text)
+    return re.sub(r"\S+", lambda m: " ` " if _NAME.search(m[0]) else m[0], text)
 
 
 def is_refusal(question: str | None, answer: str) -> bool:
@@ -188,7 +196,7 @@ def is_refusal(question: str | None, answer: str) -> bool:
         tokens = set(flat.split())
         if next(refuse.iter(f" {flat} "), None) is not None or (tokens & NOTHING and tokens & MATERIAL):
             declined = True
-        elif next(polite.iter(f" {flat} "), None) is not None or _SOURCE.match(s):
+        elif next(polite.iter(f" {flat} "), None) is not None or _is_source(s):
             continue
         elif asked and sum(w in asked for w in flat.split()) >= 0.9 * len(flat.split()):
             continue
@@ -227,10 +235,10 @@ def is_truncated(answer: str) -> bool:
         return False
     item = _ITEM.match(last)
     core = _ITEM.sub("", last).strip()
-    if _SOURCE.match(last):
+    if _is_source(last):
         return False
     if item:
-        before = [x.rstrip() for x in lines[:-1] if _ITEM.match(x) and not _SOURCE.match(x)]
+        before = [x.rstrip() for x in lines[:-1] if _ITEM.match(x) and not _is_source(x)]
         if before and sum(bool(_CLOSED.search(x)) for x in before) * 2 > len(before):
             return True
         return bool(_MID.search(core))

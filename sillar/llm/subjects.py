@@ -99,7 +99,7 @@ class Model:
         prior = np.log(whole / max(whole.sum(), 1e-9) + 0.02)
         # a shared term goes with what the document speaks of
         best = (scores + 0.7 * prior).argmax(axis=1)
-        sure = scores[np.arange(len(best)), best] > 1.0
+        sure = scores[np.arange(len(best)), best] > min(1.0, 0.6 * math.log(len(self.subjects) + 0.01))
         weight = np.array([x[1] if code else 1 for x in held])[sure]
         np.add.at(got, best[sure], weight)
         return code, got, int(weight.sum()), n
@@ -160,7 +160,7 @@ def train(docs: list[tuple[str, list[str]]], subjects: list[str]) -> Model:
     if not n or not subjects:
         return Model(subjects, {}, [])
     df = Counter(w for parts, _ in parsed for w in {w for p in parts for w in p})
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in df.items() if c >= max(3, n // 1000) and c < 0.4 * n))}
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in df.items() if c >= max(3, n // 1000) and c < 0.9 * n))}
     # how far a term's documents agree on a subject, from the labels; terms that say nothing would make clusters of style
     lab = np.zeros((n, len(subjects)))
     for i, (_, l) in enumerate(parsed):
@@ -178,7 +178,7 @@ def train(docs: list[tuple[str, list[str]]], subjects: list[str]) -> Model:
     total = counts.sum(axis=1)
     spike = rate.max(axis=1) / np.maximum(rate.mean(axis=1), 1e-9)
     # the least spike that chance would not give a term of so many documents
-    may = (spike > 2.2 + 4 / np.sqrt(np.maximum(total, 1))) & (total >= 3)
+    may = (spike > np.minimum(2.2 + 4 / np.sqrt(np.maximum(total, 1)), 0.62 * len(subjects))) & (total >= 3)
     telling = np.nonzero(may)[0]
     dims = {int(j): k for k, j in enumerate(telling)}
     rows = [{dims[j]: v for j, v in r.items() if j in dims} for r in vectors]
@@ -228,7 +228,7 @@ def train(docs: list[tuple[str, list[str]]], subjects: list[str]) -> Model:
                 top = s.max()
                 q = np.exp(s - top)
                 q /= q.sum()
-                if top > 0.8:
+                if top > min(0.8, 0.5 * math.log(len(subjects) + 0.01)):
                     seen[ids] += q
                 else:
                     neutral[ids] += 1

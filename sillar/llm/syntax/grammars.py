@@ -260,7 +260,7 @@ lambda_body : expr | block ;
 cond : binary | binary '?' expr ':' expr ;
 binary : unary | binary binop unary | binary 'instanceof' modifier* type name? | binary 'instanceof' cref '(' (case_item%)? ')' ;
 binop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '&&' | '||' | '<<' | '>' '>' | '>' '>' '>' ;
-unary : postfix | postfix '++' | postfix '--' | ('+' | '-' | '!' | '~' | '++' | '--') unary | '(' type ('&' type)* ')' unary | '(' type ')' lambda ;
+unary : postfix | postfix '++' | postfix '--' | ('+' | '-' | '!' | '~' | '++' | '--') unary | '(' type ('&' type)* ')' unary | '(' type ('&' type)* ')' lambda ;
 postfix : name | literal | 'this' | 'super' | '(' expr ')' | call | new | postfix '.' name | postfix '.' 'this' | postfix '.' 'super' | postfix '.' 'class' | type '.' 'class' | 'void' '.' 'class' | postfix '[' expr ']' | switch
   | postfix '::' targs? (name | 'new') | type '::' targs? (name | 'new') ;
 call : name args | 'this' args | 'super' args | postfix '.' targs? (name | 'super') args ;
@@ -404,7 +404,7 @@ stmt : ';' | block | simple ';' | 'if' '(' expr ')' stmt ('elseif' '(' expr ')'
   | 'while' '(' expr ')' (stmt | ':' top* 'endwhile' ';') | 'do' stmt 'while' '(' expr ')' ';' | 'for' '(' (expr%)? ';' (expr%)? ';' (expr%)? ')' (stmt | ':' top* 'endfor' ';')
   | 'foreach' '(' expr 'as' (expr '=>')? '&'? expr ')' (stmt | ':' top* 'endforeach' ';') | 'switch' '(' expr ')' '{' case* '}' | 'switch' '(' expr ')' ':' case* 'endswitch' ';'
   | 'try' block catch* ('finally' block)? | 'declare' '(' (name '=' expr)% ')' (';' | block) | 'namespace' qname ';' | 'namespace' qname? block
-  | 'use' ('function' | 'const')? use_item% ';' | 'use' ('function' | 'const')? qname '{' (use_item%%)? '}' ';' | attr* fn_decl | attr* class_decl | attr* 'const' ctype? const_item%  ';' | name ':' | HTML ;
+  | 'use' ('function' | 'const')? use_item% ';' | 'use' ('function' | 'const')? qname '\\\\' '{' (use_item%%)? '}' ';' | attr* fn_decl | attr* class_decl | attr* 'const' ctype? const_item%  ';' | name ':' | HTML ;
 else : 'else' stmt ;
 use_item : ('function' | 'const')? qname ('as' name)? ;
 simple : expr | 'echo' expr% | 'print' expr | 'return' expr? | 'break' NUM? | 'continue' NUM? | 'global' VAR% | 'static' (VAR ('=' expr)?)% | 'unset' '(' expr%% ')' | 'goto' name | 'throw' expr ;
@@ -464,7 +464,9 @@ _C = """
 file : top* ;
 top : fn | decl | ';' | macro_call ;
 macro_call : ID '(' (arg%)? ')' ;
-fn : spec* declarator knr* block | spec+ declarator block ;
+fn : spec* fn_declarator knr* block ;
+fn_declarator : pointer* fn_direct ;
+fn_direct : direct '(' params ')' | direct '(' (ID%)? ')' | '(' attr* fn_declarator ')' | fn_direct '[' assign? ']' | fn_direct '(' params ')' | fn_direct attr ;
 knr : decl ;
 decl : spec+ (declared%)? ';' | spec* ID ';' | '_Static_assert' '(' cond (',' STR)? ')' ';' ;
 declared : declarator asm? attr* ('=' init)? | declarator ':' cond ;

@@ -377,6 +377,8 @@ def _script(jsx: bool, typed: bool):
                         put(JE, at)
                         value, prev = True, "jsx"
                         continue
+                    if w in ("++", "--") and value and len(toks) in breaks:
+                        put(terms[";"], at)  # no postfix operator after a line break
                     if w == "?." and text[at + 2:at + 3].isdigit():
                         w = "?"
                     if w == "{":

@@ -27,16 +27,16 @@ _FAMILY = {"python": "python", "javascript": "script", "typescript": "script", "
 
 #: line patterns by which a misnamed file's language shows
 _CUES = {
-    "python": r"^\s*(?:def \w+\(.*|class \w+(?:\(.*\))?:|elif .*:|(?:if|for|while|with|try|except|else)\b.*:)$|^(?:import [\w.]+(?: as \w+)?|from [\w.]+ import .+)$",
-    "go": r"^package \w+$|^func [\w(].*\{$|^\s*\w+ := |^\t(?:if|for) [^(].*\{$",
-    "rust": r"^\s*(?:pub )?(?:fn|struct|impl|mod|enum|trait) .*\{$|^\s*(?:pub )?use [\w:{}, ]+;$|^\s*let (?:mut )?\w+.* = .*;$|^\s*pub const \w+: .*;$",
-    "java": r"^package [\w.]+;$|^import (?:static )?[\w.*]+;$|^\s*(?:public|private|protected) .*[{;]$|^\s*(?:String|boolean|final) \w+",
-    "c_sharp": r"^using [\w.]+;$|^namespace [\w.]+|^\s*(?:public|private|internal|protected) .*|^\s*var \w+ = .*;$",
-    "cpp": r"^#include [<\"].*|^\s*(?:public|private|protected):$|^\s*auto \w+ = .*;$|std::\w+|^template\s*<|^namespace \w+ \{|^using namespace",
+    "python": r"^[ \t]*(?:def \w+\(.*|class \w+(?:\(.*\))?:|elif .*:|(?:if|for|while|with|try|except|else)\b.*:)$|^(?:import [\w.]+(?: as \w+)?|from [\w.]+ import .+)$",
+    "go": r"^package \w+$|^func [\w(].*\{$|^[ \t]*\w+ := |^\t(?:if|for) [^(].*\{$",
+    "rust": r"^[ \t]*(?:pub )?(?:fn|struct|impl|mod|enum|trait) .*\{$|^[ \t]*(?:pub )?use [\w:{}, ]+;$|^[ \t]*let (?:mut )?\w+.* = .*;$|^[ \t]*pub const \w+: .*;$",
+    "java": r"^package [\w.]+;$|^import (?:static )?[\w.*]+;$|^[ \t]*(?:public|private|protected) .*[{;]$|^[ \t]*(?:String|boolean|final) \w+",
+    "c_sharp": r"^using [\w.]+;$|^namespace [\w.]+|^[ \t]*(?:public|private|internal|protected) .*|^[ \t]*var \w+ = .*;$",
+    "cpp": r"^#include [<\"].*|^[ \t]*(?:public|private|protected):$|^[ \t]*auto \w+ = .*;$|std::\w+|^template\s*<|^namespace \w+ \{|^using namespace",
     "c": r"^#(?:include|define|ifdef|ifndef|endif)\b.*|^(?:static |const )*(?:int|void|char|long|struct \w+) \*?\w+\(.*",
-    "php": r"^<\?php|^\s*\$\w+ = .*;$|^namespace [\w\\]+;$|^\s*(?:public |private |static )*function \w+\(\$?.*",
-    "javascript": r"^\s*(?:export |default |async )*function\b.*\{$|^\s*(?:export )?(?:const|let|var) [\w{\[].*|^(?:import|export) .*from .*;?$|^import \{.*|=> \{$|console\.\w+\(",
-    "typescript": r"^\s*(?:export )?(?:interface|type|enum) \w+|^\s*(?:export )?(?:const|let|var) \w+: .*|\): [\w\[\]]+ \{$|\w+: (?:number|string|any|boolean)\b",
+    "php": r"^<\?php|^[ \t]*\$\w+ = .*;$|^namespace [\w\\]+;$|^[ \t]*(?:public |private |static )*function \w+\(\$?.*",
+    "javascript": r"^[ \t]*(?:export |default |async )*function\b.*\{$|^[ \t]*(?:export )?(?:const|let|var) [\w{\[].*|^(?:import|export) .*from .*;?$|^import \{.*|=> \{$|console\.\w+\(",
+    "typescript": r"^[ \t]*(?:export )?(?:interface|type|enum) \w+|^[ \t]*(?:export )?(?:const|let|var) \w+: .*|\): [\w\[\]]+ \{$|\w: (?:number|string|any|boolean)\b",
 }
 _CUE = {k: re.compile(v, re.M) for k, v in _CUES.items()}
 _HTML = re.compile(r"\s*<(?:!doctype|html|\?xml)\b", re.I)
