@@ -38,7 +38,8 @@ WORDS = {
     "pt": """de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela
         entre depois sem mesmo aos seus quem nas me esse eles você essa num nem suas meu às minha numa pelos elas qual nós lhe deles essas esses pelas este dele tu te vocês vos
         lhes meus minhas teu tua nosso nossa dela delas esta estes estas aquele aquela isto aquilo estou está estamos estão foi fomos foram era seja sejam somente aqui antes
-        precisa pode podem ler lembre fechar arquivo pasta acima faltar usamos possível próximo antiga ainda então onde porque cada outro outra sempre nunca agora fila""",
+        precisa pode podem ler lembre fechar arquivo pasta acima faltar usamos possível próximo antiga ainda então onde porque cada outro outra sempre nunca agora fila
+        sobre nada tudo todo todos toda todas há ser ter tem têm nova novo vez entre durante contra desde sob tão pois arquivos nenhum nenhuma nova nada encontrei""",
     "fr": """de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son ou comme mais nous cette on sa ses ont aussi leur été
         être si tout même peut elle bien fait deux sans leurs ces après entre où très sous encore ici aux ils avant toujours autre faut dont moins alors je vous lui y tous
         cela quand depuis rien avoir notre votre mon ma mes quel quelle seulement jusque chez vers donc puis seule seul peuvent doit parce lorsque pendant chaque déjà
