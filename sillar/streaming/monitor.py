@@ -19,11 +19,11 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """``window_counts`` of the events table read as a stream of files until there is nothing more."""
     static = spark.read.parquet(f"{d}/events.parquet")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"windows_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sillar-stream-")
-    q = window_counts(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='sillar-stream-')}/windows_{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")
+    q = window_counts(source).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/table")
 
 
 def state_stream(checks: DataFrame) -> DataFrame:

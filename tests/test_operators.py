@@ -223,3 +223,20 @@ def test_git(spark, tmp_path):
     added, full = git.changes(spark, str(tmp_path), "0" * 40, first)
     assert full and sorted(r.new_key for r in added.collect()) == ["a.py", "b.py"]
     assert {r.path: r.content for r in git.contents(spark, str(tmp_path), git.tree(spark, str(tmp_path), first)).collect()} == {"a.py": "x = 1\n", "b.py": "y = 2\n"}
+
+
+def test_state_stream(spark, tmp_path):
+    from sillar.streaming.monitor import state_stream
+
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1, 0, i) for i in range(5)]
+    schema = "project_id string, check_time timestamp, ok boolean"
+    spark.createDataFrame([("p", at[0], True), ("p", at[2], False), ("p", at[1], False)], schema).coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    out = []
+    q = lambda: state_stream(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    q()
+    spark.createDataFrame([("p", at[3], False), ("p", at[4], True)], schema).coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    q()
+    rows = sorted(out, key=lambda r: r.check_time)
+    assert [r.failures for r in rows] == [0, 1, 2, 3, 0] and [r.recovered for r in rows] == [False] * 4 + [True]
