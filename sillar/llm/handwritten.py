@@ -29,8 +29,8 @@ DIMS, SKETCH, SHINGLE = 1 << 14, 64, 5
 SAMPLE = 600
 #: rounds of relabelling, and the margin from which a file without a notice joins the kind it looks like
 ROUNDS, RELABEL = 3, -0.25
-#: margin from which a file counts; below 0 as the training labels lack cases without a notice, which pushes margins down
-THRESHOLD = -0.4
+#: margin from which a file counts; below 0 for kinds whose training labels lack many cases without a notice, which pushes margins down
+THRESHOLDS = {"generated": -0.4, "minified": 0.0, "vendored": 0.4, "data": -0.4}
 
 # How a tool's or a library's notice at the head of a file begins.
 NOTICE = re.compile(
@@ -39,7 +39,7 @@ NOTICE = re.compile(
 BANNER = re.compile(r"^\s*(?:<\?php\s*)?(?:/\*!|//!|\#!?)?[^\n]*\bv\d+\.\d+(?:\.\d+)?\b[^\n]*(?:\n[^\n]*){0,3}?(?:licen[cs]e|redistribut|copy(?:ing)? |permi(?:ssive|tted)|maintained by|contributors)|@(?:license|preserve|version)\b", re.I)
 
 _HEAD = re.compile(r"\A(?:\s*(?:#![^\n]*\n|<\?php\b|//[^\n]*\n?|\#(?!\s*(?:include|define|if|pragma|region))[^\n]*\n?|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''))*")
-_WORD = re.compile(r"\w+")
+_BYTE_WORD = re.compile(rb"[\w\x80-\xff]+")
 _DATA_LINE = re.compile(r"""^[\s"'`(\[{.+]*(?:[A-Za-z0-9+/=_\\-]{40,}["'`)\]};,.+\s]*|(?:["'\w-]+\s*:\s*)?[\[{(]?\s*(?:[-+]?(?:0x)?[\da-fA-F.]+(?:[\s,\]})]+|(?=[;,]?\s*$))){3,}[;,]?|(?:\\x[\da-f]{2})+["',;]*)\s*$""")
 
 
@@ -49,10 +49,21 @@ def head(text: str) -> str:
     return m[0] if m else ""
 
 
+#: without one of these no line holds a notice; looked up before the pattern, which is slow on whole texts
+_STEMS = ("generat", "generad", "gerado", "generier", "produced", "do not", "changes will", "editar", "modific", "modifi", "erzeugt", "bearbeiten", "ndern", "cré", "cree", "géné", "gene", "created", "written")
+
+
 def masked(text: str) -> str:
     """The text without its head and without lines that hold a notice."""
     body = text[len(head(text)) :]
-    return "\n".join(x for x in body.split("\n") if not NOTICE.search(x)) if NOTICE.search(body) else body
+    low = body.lower()
+    if not any(x in low for x in _STEMS):
+        return body
+    return "\n".join(x for x in body.split("\n") if not (any(k in x.lower() for k in _STEMS) and NOTICE.search(x)))
+
+
+_ATOM = re.compile(rb"w+")
+_AS_ATOM = bytes(119 if chr(c).isalnum() or c == 95 or c > 127 else c for c in range(256))
 
 
 def layout(body: str) -> dict[str, float]:
@@ -61,12 +72,12 @@ def layout(body: str) -> dict[str, float]:
     filled = [x for x in lines if x.strip()]
     longest = max(map(len, lines), default=0)
     data = sum(len(x) for x in filled if _DATA_LINE.match(x)) / n
-    shapes = [re.sub(r"[A-Za-z_]\w*|\d+", "w", x.strip()) for x in filled]
+    shapes = [x for x in map(bytes.strip, _ATOM.sub(b"w", body.encode("utf-8", "replace").translate(_AS_ATOM)).split(b"\n")) if x]
     return {
         "mean": n / max(1, len(lines)),
         "longest": longest,
-        "blank": sum(c in " \n\t\r" for c in body) / n,
-        "digits": sum(c.isdigit() for c in body) / n,
+        "blank": sum(map(body.count, " \n\t\r")) / n,
+        "digits": sum(map(body.count, "0123456789")) / n,
         "data": data,
         "repeat": 1 - len(set(shapes)) / max(1, len(shapes)),
         "lines": len(filled),
@@ -94,10 +105,13 @@ def _bucket(x: float, edges) -> int:
 _EDGES = {"mean": (15, 25, 40, 60, 110, 200), "longest": (80, 120, 200, 400, 1000), "blank": (0.03, 0.08, 0.15, 0.25, 0.4), "digits": (0.02, 0.06, 0.12, 0.25, 0.4), "data": (0.05, 0.2, 0.4, 0.6, 0.8), "repeat": (0.2, 0.4, 0.55, 0.7, 0.85), "lines": (3, 10, 30, 100, 400)}
 
 
+_FOLD = bytes(48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in range(256))
+
+
 def features(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(indexes, values) of a file: character n-grams of its masked text, path components, layout."""
     body = masked(text)
-    raw = np.frombuffer(re.sub(r"\d", "0", body.lower()).encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
+    raw = np.frombuffer(body.encode("utf-8", "replace").translate(_FOLD), dtype=np.uint8).astype(np.uint32)
     parts = []
     for n in (4, 6):
         if len(raw) >= n:
@@ -121,9 +135,10 @@ def features(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([idx, extra]), np.concatenate([val, weight])
 
 
-def sketch(text: str) -> np.ndarray:
-    """The smallest hashes of a text's five-word shingles."""
-    w = np.array([zlib.crc32(x.encode()) for x in _WORD.findall(masked(text))], dtype=np.uint64)
+def sketch(body: str) -> np.ndarray:
+    """The smallest hashes of a masked text's five-word shingles."""
+    crc = zlib.crc32
+    w = np.array([crc(x) for x in _BYTE_WORD.findall(body.encode("utf-8", "replace"))], dtype=np.uint64)
     if len(w) < SHINGLE:
         return np.zeros(0, dtype=np.int64)
     h = np.zeros(len(w) - SHINGLE + 1, dtype=np.uint64)
@@ -185,8 +200,9 @@ _KEYS = ["project_id", "path"]
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = [t.removeprefix("﻿") for t in b["content"]]
-        b["shown"] = [give_away(t, layout(masked(t))) for t in texts]
-        b["sketch"] = [sketch(t) for t in texts]
+        bodies = [masked(t) for t in texts]
+        b["shown"] = [give_away(t, layout(m)) for t, m in zip(texts, bodies)]
+        b["sketch"] = [sketch(m) for m in bodies]
         yield b[[*_KEYS, "ingested_at", "shown", "sketch"]]
 
 
@@ -274,8 +290,8 @@ def _score(svm: Svm):
 def classify(files: DataFrame, ext_languages: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
     """((project_id, path, kind, margin, overlap) of every source file, figures on held-out repositories).
 
-    kind: the one with the largest margin, '' for hand-written files (no margin
-    above THRESHOLD).  Repeated rows of a file count once, the latest wins; null contents
+    kind: the one with the largest margin over its threshold, '' for hand-written
+    files (none above its threshold; margins are given relative to it).  Repeated rows of a file count once, the latest wins; null contents
     and paths and other extensions give no row; a file with an empty text is
     hand-written unless its path says otherwise by itself.
     """
@@ -290,9 +306,10 @@ def classify(files: DataFrame, ext_languages: DataFrame, sample: int = SAMPLE) -
     bucket = sum(F.when(F.col("overlap") > e, 1).otherwise(0) for e in DUP_EDGES)
     shifts = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in shift[k]]) for k in range(len(DUP_EDGES) + 1)]), (bucket + 1).cast("int"))
     both = scored.join(known.select(F.col("project_id").alias("_p"), F.col("path").alias("_f"), "overlap"), F.col("project_id").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f"))).drop("_p", "_f")
-    both = both.withColumn("margins", F.zip_with("margins", shifts, lambda a, b: a + b)).withColumn("margin", F.array_max("margins"))
+    least = F.array(*[F.lit(THRESHOLDS[k]) for k in KINDS])
+    both = both.withColumn("margins", F.zip_with(F.zip_with("margins", shifts, lambda a, b: a + b), least, lambda a, b: a - b)).withColumn("margin", F.array_max("margins"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    kind = F.when(F.col("margin") > THRESHOLD, F.element_at(kinds, F.array_position("margins", F.col("margin")).cast("int"))).otherwise("")
+    kind = F.when(F.col("margin") > 0, F.element_at(kinds, F.array_position("margins", F.col("margin")).cast("int"))).otherwise("")
     return both.select(*_KEYS, kind.alias("kind"), F.round("margin", 6).alias("margin"), F.round("overlap", 6).alias("overlap")), figures
 
 
