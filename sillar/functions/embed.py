@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # By model name, the prefix of queries, the prefix of documents, and the window asked for.
 PROFILES = {
-    "qwen3-embedding": ("Instruct: Given a question about a code repository, retrieve the code that answers it\nQuery:", "", 8192),
+    "qwen3-embedding": ("Instruct: Given a developer question, retrieve the source code that implements the answer\nQuery:", "", 8192),
     "nomic-embed-text": ("search_query: ", "search_document: ", 2048),
     "embeddinggemma": ("task: code retrieval | query: ", "title: none | text: ", 2048),
     "bge-m3": ("", "", 8192),

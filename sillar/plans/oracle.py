@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "question_kinds": f"WITH {AK} SELECT ask_id, regexp_matches(pregunta, {_q('(?i)' + _edged(P.ASKS_TESTS))}) AS about_tests, regexp_matches(pregunta, {_q('(?i)' + _USAGE)}) AS about_usage, regexp_matches(pregunta, {_q('(?i)' + _GENERAL)}) AND len({_ids('pregunta')}) = 0 AS general FROM ak",
         "source_lines": f"WITH {AK}, s AS (SELECT ask_id, unnest(range(len(sources)))::INT AS place, unnest(sources) AS s FROM ak), p AS (SELECT ask_id, place, replace(coalesce(s.file, ''), '\\', '/') AS path, coalesce(s.lines, '') AS lines FROM s) SELECT ask_id, place, CASE WHEN starts_with(path, '/') OR path[2] = ':' THEN string_split(path, '/')[-1] ELSE path END AS file, lines FROM p",
         "embedding_texts": f"WITH {CH} SELECT project_id, chunk_id, length(file_path || chr(10) || chr(10) || code)::INT AS length, md5(file_path || chr(10) || chr(10) || code) AS digest FROM ch",
-        "context_blocks": f"WITH {CH}, b AS (SELECT project_id, chunk_id, code, '[' || file_path || ' (líneas ' || start_line || '-' || end_line || ')] ' || chunk_type || ' ''' || coalesce(name, '') || '''' AS head FROM ch) SELECT project_id, chunk_id, head, (length(head) + length(code) + 9)::INT AS length FROM b",
+        "context_blocks": f"WITH {CH}, b AS (SELECT project_id, chunk_id, code, '[' || file_path || ' (líneas ' || start_line || '-' || end_line || ')] ' || chunk_type || CASE WHEN coalesce(name, '') <> '' THEN ' ''' || name || '''' ELSE '' END AS head FROM ch) SELECT project_id, chunk_id, head, (length(head) + length(code) + 9)::INT AS length FROM b",
         "component_index": f"WITH {CH} SELECT project_id, file_path, coalesce(split_of, chunk_id) AS component, chunk_type, start_line, end_line FROM ch QUALIFY row_number() OVER (PARTITION BY project_id, coalesce(split_of, chunk_id) ORDER BY chunk_id) = 1",
         "chunk_counts": f"WITH {CH} SELECT project_id, count(*) AS chunks, count(DISTINCT file_path) AS files, count(*) FILTER (WHERE {_generated('file_path')}) AS generated FROM ch GROUP BY project_id",
         "repeated_ids": "SELECT project_id, chunk_id, count(*) AS rows FROM chunks GROUP BY ALL HAVING count(*) > 1",

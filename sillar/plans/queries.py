@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sillar.functions import predicates as P
 from sillar.functions import text as T
 from sillar.functions.vector import cosine_distance
-from sillar.operators import changes, evaluation, folds, monitor, retrieval, rollup
+from sillar.operators import assembly, changes, evaluation, folds, monitor, retrieval, rollup
 from sillar.plans import corpus
 from sillar.sources.tables import load
 
@@ -50,7 +50,7 @@ def embedding_texts(spark, d):
 
 def context_blocks(spark, d):
     c = corpus.chunks(spark, d)
-    head = F.concat(F.lit("["), "file_path", F.lit(" (líneas "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")] "), "chunk_type", F.lit(" '"), F.coalesce("name", F.lit("")), F.lit("'"))
+    head = assembly.block_head(*[F.col(x) for x in ("file_path", "start_line", "end_line", "chunk_type", "name")])
     return c.select(*KEY, head.alias("head"), F.length(F.concat(head, F.lit("\n```\n"), "code", F.lit("\n```"))).alias("length"))
 
 
