@@ -95,7 +95,8 @@ class _Reader:
                 elif op == "+":
                     sym = self.fresh((sym, "+"), some)
                 elif op == "*":
-                    sym = self.fresh((sym, "*"), lambda _, s=self.fresh((sym, "+"), some): [[], [s]])
+                    # empty first, then longer: a list before an optional item keeps one stack
+                    sym = self.fresh((sym, "*"), lambda name, s=sym: [[], [name, s]])
                 else:
                     listed = self.fresh((sym, "%"), lambda name, s=sym: [[s], [name, "',", s]])
                     sym = listed if op == "%" else self.fresh((sym, "%%"), lambda _, s=listed: [[s], [s, "',"]])

@@ -514,7 +514,7 @@ fn_tail : fn_mod* ('->' type_name fn_mod*)? requires? ;
 fn_mod : 'const' | 'volatile' | 'noexcept' ('(' expr ')')? | 'override' | 'final' | '&' | '&&' | 'throw' '(' (type_name%)? ')' | attr ;
 ctor_init : fn_tail ':' mem_init% ;
 mem_init : qid (args | braced) '...'? ;
-decl : spec+ (declared%)? ';' | spec* declarator fn_tail ('=' init)? ';' | 'using' qid attr* '=' type_name ';' | 'using' 'typename'? qid% ';' | 'static_assert' '(' cond (',' STR+)? ')' ';' | 'friend' decl_or_fn | spec* '[' ID% ']' '=' init ';' ;
+decl : spec+ (declared%)? ';' | declarator fn_tail ('=' init)? ';' | 'using' qid attr* '=' type_name ';' | 'using' 'typename'? qid% ';' | 'static_assert' '(' cond (',' STR+)? ')' ';' | spec+ '[' ID% ']' '=' init ';' ;
 declared : declarator fn_tail ('=' init)? | declarator braced | declarator? ':' cond ('=' init)? | declarator '(' (arg%)? ')' ;
 spec : 'typedef' | 'extern' | 'static' | 'register' | 'inline' | 'thread_local' | 'const' | 'volatile' | 'constexpr' | 'consteval' | 'constinit' | 'virtual' | 'explicit' ('(' expr ')')? | 'mutable' | 'friend' | tspec | attr ;
 attr : '[' '[' attr_item% ']' ']' | '__attribute__' '(' '(' attr_item% ')' ')' | 'alignas' '(' (expr | type_name) ')' ;
@@ -529,7 +529,7 @@ tcond : unary | tcond tbinop unary ;
 tbinop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '==' | '!=' | '<=' | '>=' | '&&' | '||' ;
 class : ('class' | 'struct' | 'union') attr* (qid 'final'?)? (':' base%)? '{' member* '}' ;
 base : ('public' | 'private' | 'protected' | 'virtual')* 'typename'? qid '...'? ;
-member : ('public' | 'private' | 'protected') ':' | decl_or_fn | template member | ';' | 'friend' decl_or_fn | concept ;
+member : ('public' | 'private' | 'protected') ':' | decl_or_fn | template member | ';' | concept ;
 enum : 'enum' ('class' | 'struct')? attr* qid? (':' type_name)? '{' (enum_item%%)? '}' | 'enum' ('class' | 'struct') qid (':' type_name)? ;
 enum_item : ID attr* ('=' cond)? ;
 declarator : pointer* direct ;
@@ -559,11 +559,9 @@ requirement : expr ';' | 'typename' qid ';' | '{' expr '}' 'noexcept'? ('->' typ
 """
 
 _C_SHARP = """
-file : (extern ';' | using)* global_attr* top* ;
-extern : 'extern' 'alias' name ;
+file : top* ;
 using : 'global'? 'using' 'static'? 'unsafe'? qname ';' | 'global'? 'using' name '=' type ';' ;
-global_attr : attr ;
-top : namespace | attr* modifier* type_decl | stmt_top | using ;
+top : namespace | attr* modifier* type_decl | stmt_top | using | 'extern' 'alias' name ';' | '[' name ':' attr_item%% ']' ;
 stmt_top : stmt ;
 namespace : 'namespace' qname '{' (using | namespace | attr* modifier* type_decl)* '}' ';'? | 'namespace' qname ';' ;
 attr : '[' (name ':')? attr_item%% ']' ;
