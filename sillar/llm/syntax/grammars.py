@@ -112,7 +112,7 @@ object : '{' prop%% '}' | '{' '}' ;
 key : pname | STR | NUM | '[' assign ']' ;
 template : TPL | TPL_S expr (TPL_M expr)* TPL_E ;
 literal : NUM | STR | REGEX | 'null' | 'true' | 'false' ;
-binary : unary | binary binop unary | binary binop arrow ;
+binary : unary | binary binop unary ;
 """
 
 # the statement forms of expressions leave out those that begin with '{', function and class
@@ -145,11 +145,11 @@ sfix : satom | sfix {tails.format('sfix')} ;
 satom : {atoms} ;
 estart : scond | sfix '=' assign | sfix augop assign | object_pattern '=' assign | arrow | 'yield' | 'yield' assign | 'yield' '*' assign ;
 scond : sbinary | sbinary '?' assign ':' assign ;
-sbinary : sunary | sbinary binop unary | sbinary binop arrow{t(" | sbinary 'as' type | sbinary 'as' 'const' | sbinary 'satisfies' type")} ;
+sbinary : sunary | sbinary binop unary{t(" | sbinary 'as' type | sbinary 'as' 'const' | sbinary 'satisfies' type")} ;
 sunary : sfix | sfix '++' | sfix '--' | unop unary{t(" | '<' type '>' unary") if not jsx else ""} ;
 expr_nofn : estart | object | object dtail+ | expr_nofn ',' assign ;
 dtail : '.' pname | '[' expr ']' | args{t(" | 'as' type | 'as' 'const' | 'satisfies' type")} ;
-arrow : 'async'? arrow_head '=>' arrow_body ;
+arrow : arrow_head '=>' arrow_body | 'async' arrow_head '=>' arrow_body ;
 arrow_body : block | bstart ;
 bstart : scond | sfix '=' assign | sfix augop assign | arrow ;
 arrow_head : name | {t("tparams? ")}'(' params? ')'{t(" (':' rtype)?")} ;
@@ -157,11 +157,13 @@ params : param%% ;
 param : {t("decorator* modifier* ")}pattern{t(" '?'? (':' type)?")} ('=' assign)? | '...' pattern{t(" (':' type)?")}{t(" | 'this' ':' type")} ;
 binding : pattern{t(" (':' type)?")} ;
 var : pattern{t(" '!'? (':' type)?")} ('=' assign)? ;
-fn_decl : 'async'? 'function' '*'? name {t("tparams? ")}'(' params? ')' {t("(':' rtype)? ")}fn_body | 'function' '*'? '(' params? ')' fn_body ;
+fn_decl : fn_word '*'? name {t("tparams? ")}'(' params? ')' {t("(':' rtype)? ")}fn_body | 'function' '*'? '(' params? ')' fn_body ;
+fn_word : 'function' | 'async' 'function' ;
 fn_body : block{t(" | ';'")} ;
-fn_expr : 'async'? 'function' '*'? name? {t("tparams? ")}'(' params? ')' {t("(':' rtype)? ")}block ;
-class_decl : decorator* {t("'abstract'? ")}'class' name? class_rest ;
-class_expr : decorator* 'class' name? class_rest ;
+fn_expr : fn_word '*'? name? {t("tparams? ")}'(' params? ')' {t("(':' rtype)? ")}block ;
+class_decl : class_word name? class_rest | decorator+ class_word name? class_rest ;
+class_word : 'class'{t(" | 'abstract' 'class'")} ;
+class_expr : 'class' name? class_rest | decorator+ 'class' name? class_rest ;
 class_rest : {t("tparams? ")}('extends' postfix)? {t("('implements' type%)? ")}'{{' member* '}}' ;
 decorator : '@' postfix ;
 member : ';' | decorator* modifier* member_body ;
@@ -514,7 +516,8 @@ fn_tail : fn_mod* ('->' type_name fn_mod*)? requires? ;
 fn_mod : 'const' | 'volatile' | 'noexcept' ('(' expr ')')? | 'override' | 'final' | '&' | '&&' | 'throw' '(' (type_name%)? ')' | attr ;
 ctor_init : fn_tail ':' mem_init% ;
 mem_init : qid (args | braced) '...'? ;
-decl : spec+ (declared%)? ';' | declarator fn_tail ('=' init)? ';' | 'using' qid attr* '=' type_name ';' | 'using' 'typename'? qid% ';' | 'static_assert' '(' cond (',' STR+)? ')' ';' | spec+ '[' ID% ']' '=' init ';' ;
+decl : sdecl | declarator fn_tail ('=' init)? ';' ;
+sdecl : spec+ (declared%)? ';' | 'using' qid attr* '=' type_name ';' | 'using' 'typename'? qid% ';' | 'static_assert' '(' cond (',' STR+)? ')' ';' | spec+ '[' ID% ']' '=' init ';' ;
 declared : declarator fn_tail ('=' init)? | declarator braced | declarator? ':' cond ('=' init)? | declarator '(' (arg%)? ')' ;
 spec : 'typedef' | 'extern' | 'static' | 'register' | 'inline' | 'thread_local' | 'const' | 'volatile' | 'constexpr' | 'consteval' | 'constinit' | 'virtual' | 'explicit' ('(' expr ')')? | 'mutable' | 'friend' | tspec | attr ;
 attr : '[' '[' attr_item% ']' ']' | '__attribute__' '(' '(' attr_item% ')' ')' | 'alignas' '(' (expr | type_name) ')' ;
@@ -541,9 +544,9 @@ abstract : pointer+ '...'? | '...' | pointer* abs_direct ;
 abs_direct : '(' abstract ')' | abs_direct? '[' cond? ']' | abs_direct? '(' params? ')' fn_mod* ;
 type_name : spec+ abstract? ('->' type_name)? ;
 block : '{' stmt* '}' ;
-stmt : block | ';' | decl | expr ';' | 'if' 'constexpr'? '(' head ')' stmt | 'if' 'constexpr'? '(' head ')' stmt 'else' stmt | 'while' '(' head ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | 'for' '(' (expr? ';' | decl) expr? ';' expr? ')' stmt | 'for' '(' decl? spec+ (declarator | ('&' | '&&')? '[' ID% ']') ':' init ')' stmt
+stmt : block | ';' | sdecl | expr ';' | 'if' 'constexpr'? '(' head ')' stmt | 'if' 'constexpr'? '(' head ')' stmt 'else' stmt | 'while' '(' head ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | 'for' '(' (expr? ';' | sdecl) expr? ';' expr? ')' stmt | 'for' '(' sdecl? spec+ (declarator | ('&' | '&&')? '[' ID% ']') ':' init ')' stmt
   | 'switch' '(' head ')' stmt | 'case' cond ':' | 'default' ':' | ID ':' | attr stmt | 'goto' ID ';' | 'break' ';' | 'continue' ';' | ('return' | 'co_return') (init)? ';' | 'try' block catch+ | 'using' 'namespace' qid ';' | 'co_yield' init ';' ;
-head : expr | decl expr | spec+ declarator ('=' init | braced) | decl spec+ declarator '=' init ;
+head : expr | sdecl expr | spec+ declarator ('=' init | braced) | sdecl spec+ declarator '=' init ;
 catch : 'catch' '(' (param | '...') ')' block ;
 """ + _C_EXPR.replace(" CPPOPS", " | '<=>' | '.*' | '->*'").replace("| '[' cond ('...' cond)? ']'", "| '[' cond ']'") + """
 arg : init '...'? ;
