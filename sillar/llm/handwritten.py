@@ -215,9 +215,10 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sources(files: DataFrame, ext_languages: DataFrame) -> DataFrame:
+    """The source files with a text."""
     known = ext_languages.select(F.lower("ext").alias("_ext")).distinct()
     rows = files.where(F.col("content").isNotNull() & F.col("path").isNotNull()).select(*_KEYS, "content", "ingested_at", extension(F.col("path")).alias("_ext"))
-    return spread(rows.join(known, "_ext").drop("_ext"), *_KEYS)
+    return rows.join(known, "_ext").drop("_ext")
 
 
 def _latest():
@@ -295,11 +296,12 @@ def classify(files: DataFrame, ext_languages: DataFrame, sample: int = SAMPLE) -
     and paths and other extensions give no row; a file with an empty text is
     hand-written unless its path says otherwise by itself.
     """
-    rows = _sources(files, ext_languages)
+    source = _sources(files, ext_languages)
+    rows = spread(source, *_KEYS)
     surveyed = rows.mapInPandas(_survey, "project_id string, path string, ingested_at timestamp, shown string, sketch array<long>")
     surveyed = cut_lineage(surveyed.groupBy(*_KEYS).agg(F.max_by(F.struct("shown", "sketch"), _latest()).alias("v")).select(*_KEYS, "v.*"))
     known = cut_lineage(overlaps(surveyed))
-    svm, figures = fit(rows, known, sample)
+    svm, figures = fit(source, known, sample)  # few rows pass the join, so their texts need no shuffle
     run, shift = _score(svm)
     scored = rows.mapInPandas(run, "project_id string, path string, ingested_at timestamp, margins array<double>")
     scored = scored.groupBy(*_KEYS).agg(F.max_by("margins", _latest()).alias("margins"))
