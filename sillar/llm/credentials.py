@@ -13,6 +13,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,13 +41,10 @@ _ISSUED = re.compile(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|
 
 _WORD = re.compile(r"""[^\s"'`<>(){}\[\],;|\\=:@]+(?:={1,2}(?![^\s"'`,;)\]}&]))?|"|'|`|://|:=|=>|\|\||\?\?|[=:@+(),;{}\[\]<>|\\]""")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([\s\S]*?)(?:-----END \1-----|\Z)")
-_CANDIDATE = re.compile(rf"""(?:{SECRET})|://[^\s/"'@]{{0,80}}:[^\s"'@/]|\b(?:basic|bearer)\s|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/_.\-]{{0,60}}\d)[A-Za-z0-9+/_.\-]{{16,}}|\bldap|\blog_?in\b|\badmin\b|\busuario\b|[A-Za-z]\d{{3,4}}[!?*#+$]|\b(?:log_?in|sign_?in|connect|open_?\w+)\s*\(""", re.I)
-# One of these stands in every line that the first alternatives of _CANDIDATE find; the other alternatives follow.
-STEMS = "pass pwd pw kennwort contrase senha clave secret token api access private signing salt session encrypt auth cred bearer webhook jwt pin otp llave chave motdepasse mdp signature master account hmac basic ldap log usuario admin sign connect open".split()
-_SHAPES = re.compile(r"""://|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/_.\-]{0,60}\d)[A-Za-z0-9+/_.\-]{16,}|[A-Za-z]\d{3,4}[!?*#+$]""")
-_BLOB = re.compile(r"""^\s*["'`]?[A-Za-z0-9+/=_-]{56,}["'`]?\s*[,+.\;]?\s*$""")
 _CONFIG = re.compile(r"\.(?:env|ya?ml|json|ini|cfg|conf|config|toml|properties|npmrc|netrc|xml|tfvars|pem|key|pypirc|htpasswd|txt|sh)$|(?:^|/)\.?(?:env|netrc|npmrc|pgpass|credentials)\b", re.I)
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|;|<!--|rem\s)|(?<=\s)(?://|#)\s")
+#: what stands in every line with a literal token outside configuration: a quotation mark, a comment or an address
+_LITERAL = re.compile(r"""["'`]|://|""" + _COMMENT.pattern.replace(r"^\s*", r"^[^\S\n]*"), re.M | re.I)
 
 
 def _entropy(s: str) -> float:
@@ -436,38 +434,26 @@ def _harmless(value: str, features: list[str]) -> bool:
     """Exact check after the labels: placeholders, and plain words, paths or dates where no name or place asks for a secret."""
     if "placeholder" in features and "in=url" not in features:
         return True
-    plain = any(f in _PLAIN_KINDS for f in shape(value.rstrip(".,;:!?")))
+    plain = any(f in _PLAIN_KINDS for f in shape(value.rstrip(".,;:!?"))) or not any(c.isdigit() or c.isascii() and c.isalnum() for c in value)  # words of other scripts
     return plain and not any(f in _SURE for f in features)
 
 
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
 
-@lru_cache(maxsize=1)
-def _stems():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for x in STEMS:
-        a.add_word(x, len(x))
-    a.make_automaton()
-    return a
-
-
 def candidate_lines(text: str) -> set[int]:
-    """Numbers of the lines that may hold a candidate: one pass of an automaton and one of a pattern over the whole text."""
-    from bisect import bisect_right
-
-    low = text.lower()
-    places = [at for at, _ in _stems().iter(low)] if len(low) == len(text) else None
+    """Numbers of the lines that may hold a literal token as ``analyse`` sees it outside configuration."""
     starts, at = [0], text.find("\n")
     while at >= 0:
         starts.append(at + 1)
         at = text.find("\n", at + 1)
-    if places is None:  # letters whose lower case is longer: look at every line
-        return set(range(1, len(starts) + 1))
-    out = {bisect_right(starts, p) for p in places}
-    out.update(bisect_right(starts, m.start()) for m in _SHAPES.finditer(text))
+    out, at = set(), 0
+    while m := _LITERAL.search(text, at):
+        no = bisect_right(starts, m.start())
+        out.add(no)
+        if no == len(starts):
+            break
+        at = starts[no]
     return out
 
 
@@ -487,7 +473,7 @@ def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
             opened = re.search(r"(?:\"\"\"|'''|`|<<<?-?['\"]?\w+['\"]?)[ \t]*\r?\n[ \t]*$", text[max(0, start - 80) : start])
             at = start - (len(text[max(0, start - 80) : start]) - opened.start()) if opened else start
             out.append((text.count("\n", 0, at) + 1, m.start(2), m.start(2) + len(m[2])))
-    marked = candidate_lines(text)
+    marked = None if config else candidate_lines(text)
     no, begin = 0, 0
     at_skip = 0
     carried = 0  # line of a credential that goes on in the next line
@@ -499,9 +485,9 @@ def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
         inside = at_skip < len(skip) and skip[at_skip][0] < end
         line = raw.rstrip("\r")
         goes_on, carried_was = False, carried
-        if not inside and line and (carried or (no in marked and _CANDIDATE.search(line))) and not (_BLOB.match(line) and not carried):
+        if not inside and line and (marked is None or no in marked):
             spans, feats = analyse(line, config)
-            if spans:
+            if not all(_harmless(line[a:b], f) for (a, b), f in zip(spans, feats)):
                 labels = crf.viterbi(feats)
                 current = 0
                 for (a, b), y, f in zip(spans, labels, feats):

@@ -62,6 +62,15 @@ def test_credentials_and_redaction():
     assert 'password = "XXXXXXXXXXXXXXXXX"' in credentials.redact(two, credentials.find(two, "a.py", crf))
 
 
+def test_every_line_with_a_literal_is_labelled():
+    crf = credentials.trained()
+    assert [h[0] for h in credentials.find("X=1\nCLIENT_SECRET=" + "7ffd111fef4b2ea2b699d4e5815aa2ec" * 2 + "\n", "lesson.env", crf)] == [2]
+    assert [h[0] for h in credentials.find('x = 1\n\nconectar("svc", "Quartz-siesta.Nube!");\n', "a.js", crf)] == [3]
+    assert not credentials.find('log.info("只有当请求有效时才会写入缓冲区");\n', "a.java", crf)
+    for line, config, _ in credentials.training_lines(1500, seed=5):
+        assert config or not credentials.analyse(line, False)[0] or credentials.candidate_lines("a\n\n" + line) == {3}
+
+
 def test_credentials_of_held_out_lines():
     crf, wrong = credentials.trained(), 0
     lines = credentials.training_lines(1500, seed=99)
