@@ -40,7 +40,10 @@ _PLACEHOLDER = re.compile(r"^(?:x{3,}|\*{3,}|\.{3,}|_{3,}|-{3,}|0{6,}|1234(?:567
 _ISSUED = re.compile(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^glpat-[\w-]{16,}$|^xox[abprs]-[\w-]{10,}$|^AIza[\w-]{30,}$|^sk[-_](?:live|test|proj|ant)?[-_]?[A-Za-z0-9_-]{16,}$|^SG\.[\w-]{16,}\.[\w-]{16,}$|^eyJ[\w-]{8,}\.[\w-]{8,}(?:\.[\w-]*)?$|^[a-z]{2,6}_(?:live|prod|test|key|pat|sk|tok)_[A-Za-z0-9]{16,}$|^npm_[A-Za-z0-9]{30,}$|^dop_v1_[0-9a-f]{40,}$")
 
 _WORD = re.compile(r"""[^\s"'`<>(){}\[\],;|\\=:@]+(?:={1,2}(?![^\s"'`,;)\]}&]))?|"|'|`|://|:=|=>|\|\||\?\?|[=:@+(),;{}\[\]<>|\\]""")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([\s\S]*?)(?:-----END \1-----|\Z)")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----")
+_BREAK = re.compile(r"\r?\n|(?:\\+r)?\\+n")
+_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|Comment|Subject|Version|Hash|Charset|MessageID|X-[\w-]+):.*")
+_ELISION = re.compile(r"<[^<>]*>|\$?\{[^{}]*\}|\{\{[^{}]*\}\}|\[[^\[\]]*\]|[A-Za-z0-9+/=.…]+")
 _CONFIG = re.compile(r"\.(?:env|ya?ml|json|ini|cfg|conf|config|toml|properties|npmrc|netrc|xml|tfvars|pem|key|pypirc|htpasswd|txt|sh)$|(?:^|/)\.?(?:env|netrc|npmrc|pgpass|credentials)\b", re.I)
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|;|<!--|rem\s)|(?<=\s)(?://|#)\s")
 #: what stands in every line with a literal token outside configuration: a quotation mark, a comment or an address
@@ -457,6 +460,54 @@ def candidate_lines(text: str) -> set[int]:
     return out
 
 
+def _body(piece: str, before: int) -> tuple[bool, bool, int]:
+    """(whether a line may stand in a block that is closed, in one that is not, its characters of a key)."""
+    core = piece.strip(" \t\r\"'`.,;\\()&|>*#-+=")
+    parts = re.split(r"""["'`][\s+.\\,&]*["'`]""", core)
+    if not core:
+        return True, True, before
+    if all(re.fullmatch(r"[A-Za-z0-9+/]+", x) for x in parts):
+        n = sum(map(len, parts))
+        return True, n >= 16 or before >= 40, n  # the last line of a key may be short
+    header = bool(_HEADER.fullmatch(core))
+    return header or bool(_ELISION.fullmatch(core)), header, 0
+
+
+def key_blocks(text: str) -> Iterator[tuple[str, int, int, int, int]]:
+    """(label, start, start of the body, end of the body, end) of each block of a key, left to right.
+
+    A block ends at its END mark if only lines of a key, header fields and elisions
+    lie before that; else before the first line that is no line of a key.
+    """
+    done = 0
+    for m in _BEGIN.finditer(text):
+        if m.start() < done:
+            continue
+        close, at, kept, holds, before = f"-----END {m[1]}-----", m.end(), m.end(), True, 0
+        while True:
+            brk = _BREAK.search(text, at)
+            stop = brk.start() if brk else len(text)
+            again = text.find("-----BEGIN ", at, stop)
+            if again >= 0:  # the next block takes the rest of the line
+                stop, brk = again, None
+            mark = text.find(close, at, stop)
+            closed, opened, before = _body(text[at : mark if mark >= 0 else stop], before)
+            holds = holds and opened
+            if not closed:
+                body, done = kept, kept
+                break
+            if mark >= 0:
+                body, done = mark, mark + len(close)
+                break
+            if holds:
+                kept = stop
+            if not brk:
+                body, done = kept, kept
+                break
+            at = brk.end()
+        yield m[1], m.start(), m.end(), body, done
+
+
 def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
     """(line, start, end) of each hidden stretch; stretches of one credential follow one another with the same line.
 
@@ -466,13 +517,13 @@ def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     config = bool(_CONFIG.search(path or ""))
     skip: list[tuple[int, int]] = []
-    for m in _PEM.finditer(text):
-        skip.append(m.span())
-        if "PRIVATE KEY" in m[1] and len(_KEY_BODY.findall(m[2])) and not re.search(r"<[^<>\n]{3,}>|\.\.\.|\$\{", m[2]):
-            start = m.start()
+    for label, start, first, last, stop in key_blocks(text):
+        skip.append((start, stop))
+        body = text[first:last]
+        if "PRIVATE KEY" in label and _KEY_BODY.search(body) and not re.search(r"<[^<>\n]{3,}>|\.\.\.|\$\{", body):
             opened = re.search(r"(?:\"\"\"|'''|`|<<<?-?['\"]?\w+['\"]?)[ \t]*\r?\n[ \t]*$", text[max(0, start - 80) : start])
             at = start - (len(text[max(0, start - 80) : start]) - opened.start()) if opened else start
-            out.append((text.count("\n", 0, at) + 1, m.start(2), m.start(2) + len(m[2])))
+            out.append((text.count("\n", 0, at) + 1, first, last))
     marked = None if config else candidate_lines(text)
     no, begin = 0, 0
     at_skip = 0
@@ -482,7 +533,10 @@ def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
         end = begin + len(raw)
         while at_skip < len(skip) and skip[at_skip][1] <= begin:
             at_skip += 1
-        inside = at_skip < len(skip) and skip[at_skip][0] < end
+        inside = at_skip < len(skip) and skip[at_skip][0] <= begin and end <= skip[at_skip][1]
+        beside = [x for x in skip[at_skip : at_skip + 1] if x[0] < end]  # blocks on a part of the line
+        while beside and at_skip + len(beside) < len(skip) and skip[at_skip + len(beside)][0] < end:
+            beside.append(skip[at_skip + len(beside)])
         line = raw.rstrip("\r")
         goes_on, carried_was = False, carried
         if not inside and line and (marked is None or no in marked):
@@ -491,7 +545,7 @@ def find(text: str, path: str | None, crf: Crf) -> list[tuple[int, int, int]]:
                 labels = crf.viterbi(feats)
                 current = 0
                 for (a, b), y, f in zip(spans, labels, feats):
-                    if y == O or _harmless(line[a:b], f):
+                    if y == O or _harmless(line[a:b], f) or any(x < begin + b and begin + a < z for x, z in beside):
                         continue
                     first = carried_was and a < 200 and not line[:a].strip(" \t\"'`+.,&(")
                     if y == B or not current:
