@@ -24,42 +24,47 @@ from sillar.sources.tables import tasks
 BUCKETS = 160
 
 
-def boundaries(lengths, counts, capacity: int, buckets: int = BUCKETS, candidates: int = 1200) -> list[int]:
-    """Upper bucket boundaries that minimise the padding of a length histogram.
+def boundaries(lengths, counts, capacity: int, buckets: int = BUCKETS) -> list[int]:
+    """Upper bucket boundaries that minimise the padding of a length histogram, over all distinct lengths.
 
-    Exact over the distinct lengths while there are at most ``candidates``; beyond,
-    over the most populated quantiles and the divisors of the capacity.
+    The padding of a bucket is a Monge cost, so the best first length of the last
+    bucket does not fall as the lengths rise: a layer of the programme is filled by
+    halving, every length between the choices of its neighbours, in n log n steps.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     order = np.argsort(lengths)
-    lengths, counts = lengths[order], counts[order]
-    if not len(lengths):
-        return []
-    ends = lengths
-    if len(ends) > candidates:
-        running = np.cumsum(counts)
-        picks = np.searchsorted(running, np.linspace(running[0], running[-1], candidates // 2))
-        logs = np.searchsorted(lengths, np.geomspace(max(1, lengths[0]), lengths[-1], candidates // 2))
-        shares = np.searchsorted(lengths, [capacity // m for m in range(1, 200) if capacity // m >= lengths[0]], "right") - 1
-        ends = np.unique(lengths[np.unique(np.clip(np.concatenate([picks, logs, shares, [len(lengths) - 1]]), 0, len(lengths) - 1))])
-    upto = np.searchsorted(lengths, ends, "right")
-    number = np.concatenate([[0], np.cumsum(counts)])[upto].astype(float)
-    total = np.concatenate([[0], np.cumsum(counts * lengths)])[upto].astype(float)
+    ends, counts = lengths[order], counts[order]
     n = len(ends)
     if n <= buckets:
         return ends.tolist()
-    before_n, before_t = np.concatenate([[0.0], number[:-1]]), np.concatenate([[0.0], total[:-1]])
-    # cost[i, j]: padding when one bucket holds the ends i..j
-    cost = ends[None, :] * (number[None, :] - before_n[:, None]) - (total[None, :] - before_t[:, None])
-    cost[np.tril_indices(n, -1)] = np.inf
-    best = cost[0].copy()
+    number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * ends)])
+    far = np.iinfo(np.int64).max // 4
+    best = ends * number[1:] - total[1:]  # padding of the lengths up to each in one bucket
     choice = []
     for _ in range(buckets - 1):
-        through = np.concatenate([[np.inf], best[:-1]])[:, None] + cost
-        pick = through.argmin(axis=0)
-        new = through[pick, np.arange(n)]
+        through = np.concatenate([[far], best[:-1]])
+        new, pick = np.full(n, far), np.zeros(n, dtype=np.int32)
+        step = 1 << n.bit_length()
+        while step > 1:
+            half = step // 2
+            at = np.arange(half - 1, n, step)
+            if len(at):
+                low = np.where(at >= half, pick[np.maximum(at - half, 0)], 0)
+                after = at + half
+                high = np.minimum(at, np.where(after < n, pick[np.minimum(after, n - 1)], n - 1))
+                width = high - low + 1
+                first = np.concatenate([[0], np.cumsum(width)[:-1]])
+                i = np.arange(width.sum()) - np.repeat(first - low, width)
+                j = np.repeat(at, width)
+                value = through[i] + ends[j] * (number[j + 1] - number[i]) - (total[j + 1] - total[i])
+                least = np.minimum.reduceat(value, first)
+                hit = np.flatnonzero(value == np.repeat(least, width))
+                own = np.repeat(np.arange(len(at)), width)[hit]
+                pick[at] = i[hit[np.searchsorted(own, np.arange(len(at)))]]
+                new[at] = least
+            step = half
         better = new < best
-        choice.append(np.where(better, pick, -1))
+        choice.append(np.where(better, pick, -1).astype(np.int32))
         best = np.minimum(new, best)
     out, j = [int(ends[-1])], n - 1
     for pick in reversed(choice):

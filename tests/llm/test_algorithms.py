@@ -89,6 +89,21 @@ def test_boundaries_are_optimal():
         assert cost(pack.boundaries(lengths, counts, 60, 3)) == best
 
 
+def test_boundaries_are_optimal_over_many_lengths():
+    """Against the recurrence over every distinct length, of which there are more than 1,200."""
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.choice(np.arange(1, 9000), 1500, replace=False))
+    counts = rng.integers(1, 40, 1500)
+    number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    cost = lengths[None, :] * (number[None, 1:] - number[:-1, None]) - (total[None, 1:] - total[:-1, None])
+    cost = np.where(np.tri(1500, k=-1) > 0, 1 << 50, cost)
+    best = cost[0]
+    for _ in range(11):
+        best = np.minimum(best, (np.concatenate([[1 << 50], best[:-1]])[:, None] + cost).min(axis=0))
+    ends = np.array(pack.boundaries(lengths, counts, 9000, 12))
+    assert len(ends) == 12 and ((ends[np.searchsorted(ends, lengths)] - lengths) * counts).sum() == best[-1]
+
+
 def test_plan_fits():
     rng = random.Random(6)
     for _ in range(50):
