@@ -29,14 +29,17 @@ def extension_histogram(files: DataFrame, group: list[str], top: int = 8) -> Dat
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("_first")
 
 
-def rollup_levels(purposes: DataFrame, group: list[str], budget: int, depth: int) -> DataFrame:
+def rollup_levels(purposes: DataFrame, group: list[str], budget: int, depth: int | None = None) -> DataFrame:
     """Text and hash of every folder, deepest first: (group, folder, depth, text, digest, copied).
 
     A folder of one file, or of one subfolder and no file, copies that text; others
     list their files and subfolders, shortened level by level until they fit the
-    budget.  One join a level: ``depth`` bounds the loop, not the number of rows.
+    budget.  One join a level: ``depth`` bounds the loop, not the number of rows;
+    without it the loop begins at the deepest folder.
     purposes: group, path, purpose.
     """
+    if depth is None:
+        depth = max(1, purposes.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 1)
     files = purposes.withColumn("parent", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(""))
     names = F.element_at(F.split("path", "/"), -1)
     entries = files.where("parent <> ''").select(*group, F.col("parent").alias("folder"), F.lit(0).alias("kind"), names.alias("name"), F.col("purpose").alias("text"), F.lit(0).alias("sub"))

@@ -249,13 +249,13 @@ def _purposes(spark, d):
 
 
 def folder_rollup(spark, d):
-    return rollup.rollup_levels(_purposes(spark, d), ["project_id"], 3000, 4).select("project_id", "folder", "depth", "copied", "digest")
+    return rollup.rollup_levels(_purposes(spark, d), ["project_id"], 3000).select("project_id", "folder", "depth", "copied", "digest")
 
 
 def overview_memo(spark, d):
     """Folders whose hash is not in the state before: those to be summarised again."""
-    now = rollup.rollup_levels(_purposes(spark, d), ["project_id"], 3000, 4)
-    before = rollup.rollup_levels(_purposes(spark, d).where("not path like '%test%'"), ["project_id"], 3000, 4)
+    now = rollup.rollup_levels(_purposes(spark, d), ["project_id"], 3000)
+    before = rollup.rollup_levels(_purposes(spark, d).where("not path like '%test%'"), ["project_id"], 3000)
     old = before.select("project_id", "folder", F.col("digest").alias("old"))
     return now.join(old, ["project_id", "folder"], "left").groupBy("project_id").agg(F.count("*").alias("folders"), F.count_if(F.col("digest").eqNullSafe(F.col("old"))).alias("reused"))
 

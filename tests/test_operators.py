@@ -137,6 +137,18 @@ def test_merge_twice(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, changes.merge(once, fresh, ["k"]).collect())) == [(1, "a"), (2, "B"), (3, "C")]
 
 
+def test_rollup_of_any_depth(spark, tmp_path):
+    from sillar.plans import queries
+
+    df = spark.createDataFrame([("p", "a/b/c/d/e/f/x.py", "deep"), ("p", "a/y.py", "flat")], "project_id string, path string, purpose string")
+    got = {r.folder: r.depth for r in rollup.rollup_levels(df, ["project_id"], 3000).collect()}
+    assert got == {"/".join("abcdef"[:n]): n for n in range(1, 7)}
+    assert rollup.rollup_levels(df.limit(0), ["project_id"], 3000).count() == 0
+    rows = df.selectExpr("project_id", "path", "purpose as content", "timestamp'2024-01-01' as ingested_at", "1 as commit_no")
+    rows.write.parquet(f"{tmp_path}/repo_files.parquet")
+    assert {r.depth for r in queries.folder_rollup(spark, str(tmp_path)).collect()} == set(range(1, 7))
+
+
 def test_rollup(spark):
     df = spark.createDataFrame([("p", "a/b/x.py", "one"), ("p", "a/b/y.py", "two"), ("p", "a/z.py", "three"), ("p", "root.py", "four")], "project_id string, path string, purpose string")
     got = {r.folder: r.text for r in rollup.rollup_levels(df, ["project_id"], 3000, 3).collect()}
