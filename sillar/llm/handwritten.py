@@ -5,7 +5,7 @@ n-grams, path components and layout, trained here on files that give themselves
 away (a tool's or library's notice at their head, text that is packed or data);
 the notice itself is masked, so what is learned holds for files without one.
 Validation splits by repository.  How much of a file is found in other
-repositories comes from bottom-k sketches of its five-word shingles.
+repositories comes from a bottom-k sketch of its five-word shingles, held against all of theirs.
 """
 
 from __future__ import annotations
@@ -135,8 +135,8 @@ def features(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([idx, extra]), np.concatenate([val, weight])
 
 
-def sketch(body: str) -> np.ndarray:
-    """The smallest hashes of a masked text's five-word shingles."""
+def shingles(body: str) -> np.ndarray:
+    """The hashes of a masked text's five-word shingles, ascending: the first ``SKETCH`` are its sketch."""
     crc = zlib.crc32
     w = np.array([crc(x) for x in _BYTE_WORD.findall(body.encode("utf-8", "replace"))], dtype=np.uint64)
     if len(w) < SHINGLE:
@@ -145,7 +145,7 @@ def sketch(body: str) -> np.ndarray:
     for k in range(SHINGLE):
         h = (h ^ w[k : len(w) - SHINGLE + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.unique(h >> np.uint64(1)).astype(np.int64)[:SKETCH]
+    return np.unique(h >> np.uint64(1)).astype(np.int64)
 
 
 class Svm:
@@ -202,8 +202,8 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [t.removeprefix("﻿") for t in b["content"]]
         bodies = [masked(t) for t in texts]
         b["shown"] = [give_away(t, layout(m)) for t, m in zip(texts, bodies)]
-        b["sketch"] = [sketch(m) for m in bodies]
-        yield b[[*_KEYS, "ingested_at", "shown", "sketch"]]
+        b["shingles"] = [shingles(m) for m in bodies]
+        yield b[[*_KEYS, "ingested_at", "shown", "shingles"]]
 
 
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,16 +226,18 @@ def _latest():
 
 
 def overlaps(surveyed: DataFrame) -> DataFrame:
-    """(project_id, path, shown, overlap): the share of a file's sketch that other repositories' files hold.
+    """(project_id, path, shown, overlap): the share of a file's sketch that other repositories' files hold anywhere.
 
-    Hashes are first reduced to their least and greatest repository, so a hash
+    The sketch is met by all shingles of the others, so a file counts as copied
+    whatever the size of the file that holds it.  Hashes are first reduced to their least and greatest repository, so a hash
     that a third of all files hold costs one row a task.
     """
-    hashes = surveyed.select(*_KEYS, F.explode("sketch").alias("h"))
-    shared = hashes.groupBy("h").agg(F.min("project_id").alias("a"), F.max("project_id").alias("b")).where("a <> b").select("h")
+    sketch = F.slice("shingles", 1, SKETCH)
+    hashes = surveyed.select(*_KEYS, F.explode(sketch).alias("h"))
+    shared = surveyed.select("project_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("project_id").alias("a"), F.max("project_id").alias("b")).where("a <> b").select("h")
     hits = hashes.join(shared, "h").groupBy(*_KEYS).agg(F.count("*").alias("hits"))
     joined = surveyed.join(hits.withColumnsRenamed({"project_id": "_p", "path": "_f"}), F.col("project_id").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")), "left")
-    return joined.select(*_KEYS, "shown", (F.coalesce("hits", F.lit(0)) / F.greatest(F.size("sketch"), F.lit(1))).alias("overlap"))
+    return joined.select(*_KEYS, "shown", (F.coalesce("hits", F.lit(0)) / F.greatest(F.size(sketch), F.lit(1))).alias("overlap"))
 
 
 def fit(files: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[Svm, dict]:
@@ -298,8 +300,8 @@ def classify(files: DataFrame, ext_languages: DataFrame, sample: int = SAMPLE) -
     """
     source = _sources(files, ext_languages)
     rows = spread(source, *_KEYS)
-    surveyed = rows.mapInPandas(_survey, "project_id string, path string, ingested_at timestamp, shown string, sketch array<long>")
-    surveyed = cut_lineage(surveyed.groupBy(*_KEYS).agg(F.max_by(F.struct("shown", "sketch"), _latest()).alias("v")).select(*_KEYS, "v.*"))
+    surveyed = rows.mapInPandas(_survey, "project_id string, path string, ingested_at timestamp, shown string, shingles array<long>")
+    surveyed = cut_lineage(surveyed.groupBy(*_KEYS).agg(F.max_by(F.struct("shown", "shingles"), _latest()).alias("v")).select(*_KEYS, "v.*"))
     known = cut_lineage(overlaps(surveyed))
     svm, figures = fit(source, known, sample)  # few rows pass the join, so their texts need no shuffle
     run, shift = _score(svm)

@@ -190,6 +190,14 @@ def _tree():
     return rows, truth
 
 
+def test_overlap_of_a_file_in_a_bundle(spark):
+    text = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [("p", "lib.js", text("x", 200)), ("q", "bundle.js", text("y", 1000) + " " + text("x", 200) + " " + text("z", 1000)), ("q", "own.js", text("w", 200))]
+    surveyed = spark.createDataFrame([(p, f, "", handwritten.shingles(t).tolist()) for p, f, t in rows], "project_id string, path string, shown string, shingles array<long>")
+    got = {r.path: r.overlap for r in handwritten.overlaps(surveyed).collect()}
+    assert got["lib.js"] == 1.0 and got["own.js"] == 0.0 and got["bundle.js"] < 0.35
+
+
 def test_handwritten(spark):
     rows, truth = _tree()
     ext = spark.createDataFrame([(".py", "python"), (".js", "javascript")], "ext string, language string")
