@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillar.llm.syntax.spans import actual_language, inner, spans
-from sillar.sources.tables import extension, spread
+from sillar.sources.tables import extension, latest, spread
 
 LANGS = ("en", "es", "pt", "fr", "de", "ru", "zh")
 LEAST_WORDS, LEAST_HAN = 5, 8
@@ -248,44 +248,40 @@ def file_languages(text: str, declared: str) -> dict[str, tuple[int, int]]:
     out: dict[str, list[int]] = {}
     text = text.removeprefix("﻿")
     for _, body, _ in comment_texts(text, actual_language(text, declared)):
-        if len(body) < 8 or _DATA.search(body):
-            if not body or (_DATA.search(body) and len(body) < 100_000 and " " not in body.strip()) or len(body) < 8:
-                continue
-            body = _DATA.sub(" ", body)
-        for lang, words, size in passages(body):
+        if len(body) < LEAST_HAN:  # no room for a passage
+            continue
+        for lang, words, size in passages(_DATA.sub(" ", body)):
             old = out.setdefault(lang, [0, 0])
             old[0] = max(old[0], words)
             old[1] += size
     return {k: (a, b) for k, (a, b) in out.items()}
 
 
-OUT = "project_id string, file_path string, nat_lang string, longest int, bytes long, file_bytes long, ingested_at timestamp"
+OUT = "project_id string, file_path string, ingested_at timestamp, file_bytes long, found array<struct<nat_lang:string,longest:int,bytes:long>>"
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for project, path, language, content, at in zip(b["project_id"], b["path"], b["language"], b["content"], b["ingested_at"]):
-            size = len(content.encode("utf-8", "surrogatepass"))
-            for lang, (longest, n) in file_languages(content, language).items():
-                rows.append((project, path, lang, longest, n, size, at))
-        yield pd.DataFrame(rows, columns=["project_id", "file_path", "nat_lang", "longest", "bytes", "file_bytes", "ingested_at"])
+        b["file_bytes"] = [len(t.encode("utf-8", "surrogatepass")) for t in b["content"]]
+        b["found"] = [[{"nat_lang": k, "longest": a, "bytes": n} for k, (a, n) in sorted(file_languages(t, l).items())] for t, l in zip(b["content"], b["language"])]
+        yield b.rename(columns={"path": "file_path"})[["project_id", "file_path", "ingested_at", "file_bytes", "found"]]
 
 
 def natural_text(files: DataFrame, ext_languages: DataFrame) -> DataFrame:
     """(project_id, file_path, nat_lang, longest, bytes, share) of the prose in each source file.
 
     longest: words (Chinese: characters) of the longest passage; share: its bytes
-    in the file's bytes.  Repeated rows of a file count once, by the latest
-    ``ingested_at``; null content and paths and other extensions give no row.
+    in the file's bytes.  Of repeated rows of a file only the latest counts, with
+    all its languages: one that only an older version had gives no row.  Rows
+    without a time count as oldest, ties go to the greater text.  Null content and
+    paths and other extensions give no row.
     """
     known = ext_languages.select(F.lower("ext").alias("_ext"), "language").dropDuplicates(["_ext"])
     rows = files.where(F.col("content").isNotNull() & F.col("path").isNotNull()).select("project_id", "path", "content", "ingested_at", extension(F.col("path")).alias("_ext"))
     rows = spread(rows.join(known, "_ext").drop("_ext"), "project_id", "path")
-    found = rows.mapInPandas(_extract, OUT)
-    keys = ["project_id", "file_path", "nat_lang"]
-    one = found.groupBy(*keys).agg(F.max_by(F.struct("longest", "bytes", "file_bytes"), F.coalesce("ingested_at", F.lit("0001-01-01").cast("timestamp"))).alias("v"))
-    return one.select(*keys, "v.longest", "v.bytes", F.round(F.col("v.bytes") / F.col("v.file_bytes"), 6).alias("share"))
+    one = latest(rows.mapInPandas(_extract, OUT).withColumn("v", F.struct("file_bytes", "found")), ["project_id", "file_path"], "v")
+    each = one.select("project_id", "file_path", "v.file_bytes", F.explode("v.found").alias("x"))
+    return each.select("project_id", "file_path", "x.*", F.round(F.col("x.bytes") / F.col("file_bytes"), 6).alias("share"))
 
 
 def found(files: DataFrame, ext_languages: DataFrame) -> DataFrame:

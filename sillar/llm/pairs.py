@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillar.llm.natural_text import LANGS, word_scores
-from sillar.sources.tables import spread
+from sillar.sources.tables import latest, spread
 
 # Phrases by which an answer declines, without accents.
 REFUSALS = """
@@ -42,10 +42,6 @@ LANGUAGE_NAMES = {"es": "es spa español espanol spanish castellano", "en": "en
 # Words of short answers that tell the language.
 SHORT = {"en": "yes lines line sources source sure true done right correct okay", "es": "sí líneas línea fuentes fuente claro cierto hecho correcto vale", "pt": "sim linhas linha fontes fonte claro feito certo", "fr": "oui lignes ligne bien sûr vrai fait", "de": "ja nein zeilen zeile quellen quelle klar richtig"}
 
-# A sentence with one of NOTHING and one of MATERIAL declines as well.
-NOTHING = frozenset("nothing none nada ninguna ninguno ningun nenhum nenhuma rien aucun aucune nichts keine keiner keines".split())
-MATERIAL = frozenset("source sources excerpt excerpts fragment fragments context material repository fuentes fuente fragmento fragmentos contexto repositorio fontes fonte trecho trechos extraits sources contexte depot quellen auszuge auszug kontext dateien indexed indexados indexes".split())
-
 _NAMES = {n: k for k, v in LANGUAGE_NAMES.items() for n in v.split()}
 _SHORT = {k: frozenset(v.split()) for k, v in SHORT.items()}
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)", re.M)
@@ -54,23 +50,38 @@ _TAG = re.compile(r"<!--[\s\S]*?-->|</?[A-Za-z][^<>]*>")
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)]|[a-z][.)])\s+")
 _NOTE = re.compile(r"[\[(<]\s*(?:\.\.\.|…)?[^\[\]()<>\n]*\b(?:stopped|cut off|truncated|interrupted|length limit|token limit|detenid[ao]|cortad[ao]|truncad[ao]|interrumpid[ao]|interrompid[ao]|tronqu\w*|abgeschnitten|abgebrochen)\b[^\[\]()<>\n]*[\])>]?\s*$", re.I)
 _CLOSED = re.compile(r"[.!?。！？…](?:[\"'»”’)\]*_`]*)$")
-_SOURCE = re.compile(r"^\s*(?:[-*•+]\s*|\d+[.)]\s*)?[`\"(\[]?[\w./\\-]*(?:/|\.\w{1,5}\b)[\w./\\-]*[`\"\])]?(?:\s*[,:]?\s*\(?(?:l[ií]ne[as]*|lines?|linhas?|lignes?|zeilen?|L)?\s*\d+(?:\s*[-–]\s*L?\d+)?\)?)?[.,]?\s*$", re.I)
+_SOURCE = re.compile(r"^\s*(?:[-*•+]\s*|\d+[.)]\s*)?[`\"(\[]?(?=[\w./\\-]*(?:/|\.\w{1,5}\b))[\w./\\-]++[`\"\])]?(?:\s*[,:]?\s*\(?(?:l[ií]ne[as]*|lines?|linhas?|lignes?|zeilen?|L)?\s*\d+(?:\s*[-–]\s*L?\d+)?\)?)?[.,]?\s*$", re.I)
 _MID = re.compile(r"(?:[,;:({\[–—/&+=\-]|\b(?:the|a|an|of|to|and|or|in|is|are|that|with|for|by|on|el|la|los|las|un|una|de|del|en|y|o|que|con|por|para|se|no|si|su|al|os|as|um|uma|do|da|e|em|le|les|des|du|et|ou|der|die|das|und|oder|zu))$", re.I)
 
 
-_NAME = re.compile(r"[/\\_]|^\W*\w+\.\w{1,4}[,;:)]*$")
+#: words with a slash or an underscore, and names of files
+_NAME = re.compile(r"(?<!\S)(?:(?=[^\s/\\_]*[/\\_])\S+|[^\w\s]*\w+\.\w{1,4}[,;:)]*(?!\S))")
+
+
+class _Bare(dict):
+    """A translation that drops combining marks, filled as characters come."""
+
+    def __missing__(self, c):
+        self[c] = out = None if unicodedata.combining(chr(c)) else c
+        return out
+
+
+_BARE = _Bare()
+_LETTERS_RUN = re.compile(r"[^\W_]+")
 
 
 def plain(text: str) -> str:
     """Lower case, accents and marks gone, blanks collapsed: what a respelling keeps."""
-    text = unicodedata.normalize("NFKD", html.unescape(text)).casefold()
-    text = "".join(c for c in text if not unicodedata.combining(c))
-    return " ".join(re.findall(r"\w+", text.replace("_", " ")))
+    if "&" in text:
+        text = html.unescape(text)
+    if text.isascii():
+        return " ".join(_LETTERS_RUN.findall(text.lower()))
+    return " ".join(_LETTERS_RUN.findall(unicodedata.normalize("NFKD", text).casefold().translate(_BARE)))
 
 
 def _is_source(line: str) -> bool:
     """A path with its lines and nothing else."""
-    return len(line) < 400 and bool(_SOURCE.match(line))
+    return bool(_SOURCE.match(line))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -133,29 +144,30 @@ class SuffixAutomaton:
 _LABEL = re.compile(r"^\W*(?:pregunta|question|q|p|pergunta|frage|prompt|consulta)\s*[:：]\s*", re.I)
 
 
-def copies(question: str | None, answer: str) -> bool:
-    """Nothing but the question: stretches of it cover the answer, and the answer has all of it."""
-    if not question:
-        return False
-    q, a = plain(question), plain(_LABEL.sub("", answer))
+@lru_cache(maxsize=4096)
+def automaton(text: str) -> SuffixAutomaton:
+    return SuffixAutomaton(text)
+
+
+def compared(question: str | None, answer: str | None) -> tuple[str, str, float]:
+    """Both texts as ``plain`` gives them, and the share of the answer that stretches of the question cover."""
+    q, a = plain(question or ""), plain(_LABEL.sub("", answer or ""))
+    return q, a, automaton(q).coverage(a) if q and a else 0.0
+
+
+def copies(q: str, a: str, share: float) -> bool:
+    """Nothing but the question: stretches of it cover the answer, and the answer has all of it, or its words in another order."""
     if not q or not a:
         return False
-    if a == q or a == f"{q} {q}":
-        return True
-    if len(a) < 0.6 * len(q):
-        return False
-    words_q = set(q.split())
-    words = a.split()
-    strange = [w for w in words if w not in words_q]
-    if len(strange) > max(1, 0.12 * len(words)) and len(a) > 1.5 * len(q):
-        return False
-    automaton = SuffixAutomaton(q)
-    share = automaton.coverage(a)
+    words, asked = a.split(), q.split()
+    if share < 0.7:  # the other way round need not be looked at
+        return sorted(words) == sorted(asked)
+    known = set(asked)
+    strange = sum(w not in known for w in words)
     back = SuffixAutomaton(a).coverage(q)
-    if share >= 0.9 and back >= 0.8 and len(strange) <= max(1, 0.1 * len(words)):
+    if share >= 0.9 and back >= 0.8 and strange <= max(1, 0.1 * len(words)):
         return True
-    # two words exchanged: the same words, though in another order
-    return sorted(words) == sorted(q.split()) or (share >= 0.7 and back >= 0.7 and len(strange) <= 0.25 * len(words) and abs(len(a) - len(q)) <= 0.2 * len(q))
+    return sorted(words) == sorted(asked) or (back >= 0.7 and strange <= 0.25 * len(words) and abs(len(a) - len(q)) <= 0.2 * len(q))
 
 
 @lru_cache(maxsize=1)
@@ -173,12 +185,13 @@ def _automata():
     return made
 
 
+@lru_cache(maxsize=4)
 def prose(answer: str) -> str:
     """Without code blocks, inline code, links and paths."""
     text = _FENCED.sub("\n", answer)
     text = html.unescape(_TAG.sub(" ", text))
     text = re.sub(r"`[^`\n]*`?", " ` ", text)
-    return re.sub(r"\S+", lambda m: " ` " if _NAME.search(m[0]) else m[0], text)
+    return _NAME.sub(" ` ", text)
 
 
 def is_refusal(question: str | None, answer: str) -> bool:
@@ -193,8 +206,7 @@ def is_refusal(question: str | None, answer: str) -> bool:
         flat = plain(s)
         if len(words) < 2 or not flat:
             continue
-        tokens = set(flat.split())
-        if next(refuse.iter(f" {flat} "), None) is not None or (tokens & NOTHING and tokens & MATERIAL):
+        if next(refuse.iter(f" {flat} "), None) is not None:
             declined = True
         elif next(polite.iter(f" {flat} "), None) is not None or _is_source(s):
             continue
@@ -259,32 +271,31 @@ def wanted(idioma: str | None) -> str:
 _LETTERS = {"pt": "ãõ", "es": "ñ", "de": "ß", "fr": "œèùûîë"}
 
 
+@lru_cache(maxsize=200_000)
+def word_votes(low: str) -> tuple[tuple[str, float], ...]:
+    """What one word says for each language."""
+    if "一" <= low[0] <= "鿿":
+        return (("zh", len(low) / 2),)
+    scores, frequent = word_scores(low)
+    votes = [(k, 0.8) for k, marks in _LETTERS.items() if any(c in marks for c in low)]
+    short = [(k, 1.5) for k, words in _SHORT.items() if low in words]
+    if short:
+        return (*votes, *short)
+    if frequent:
+        return (*votes, *((k, x - 1) for k, x in zip(LANGS, scores) if x > 1))
+    top = max(scores)
+    return (*votes, *((k, 0.25 if k not in ("ru", "zh") else 1.0) for k, x in zip(LANGS, scores) if x == top and x > 0.2))
+
+
+_PROSE_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+
+
 def languages(answer: str) -> dict[str, float]:
     """Votes of the words of the prose."""
     votes = dict.fromkeys(LANGS, 0.0)
-    for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", prose(answer)):
-        low = w.lower()
-        if "一" <= low[0] <= "鿿":
-            votes["zh"] += len(low) / 2
-            continue
-        scores, frequent = word_scores(low)
-        short = False
-        for k, marks in _LETTERS.items():
-            if any(c in marks for c in low):
-                votes[k] += 0.8
-        for k, words in _SHORT.items():
-            if low in words:
-                votes[k] += 1.5
-                short = True
-        if frequent and not short:
-            for k, x in zip(LANGS, scores):
-                if x > 1:
-                    votes[k] += x - 1
-        elif not short:
-            top = max(scores)
-            for k, x in zip(LANGS, scores):
-                if x == top and x > 0.2:
-                    votes[k] += 0.25 if k not in ("ru", "zh") else 1.0
+    for low in _PROSE_WORD.findall(prose(answer).lower()):
+        for k, x in word_votes(low):
+            votes[k] += x
     return votes
 
 
@@ -295,11 +306,12 @@ def other_language(idioma: str | None, answer: str) -> bool:
     return votes[best] > 0.4 and best != want and votes[best] > 1.25 * votes[want]
 
 
-def defects(question: str | None, idioma: str | None, answer: str | None, truncated) -> list[str]:
-    """All defects of a pair, in a fixed order."""
+def measured(question: str | None, idioma: str | None, answer: str | None, truncated) -> tuple[list[str], float]:
+    """(all defects of a pair in a fixed order, the share of the answer copied from the question)."""
     out = []
     empty = is_empty(answer)
-    copied = not empty and copies(question, answer)
+    q, a, share = compared(question, answer)
+    copied = not empty and copies(q, a, share)
     if empty:
         out.append("empty")
     if truncated is True or (not empty and not copied and is_truncated(answer)):
@@ -311,28 +323,35 @@ def defects(question: str | None, idioma: str | None, answer: str | None, trunca
             out.append("other_language")
     if copied:
         out.append("copies_question")
-    return out
+    return out, round(share, 4)
+
+
+def defects(question: str | None, idioma: str | None, answer: str | None, truncated) -> list[str]:
+    return measured(question, idioma, answer, truncated)[0]
 
 
-OUT = "ask_id long, received_at timestamp, defects array<string>"
+OUT = "ask_id long, received_at timestamp, v struct<defects:array<string>,coverage:double>"
 
 
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        b["defects"] = [defects(q, i, a, None if t is None or pd.isna(t) else bool(t)) for q, i, a, t in zip(b["pregunta"], b["idioma"], b["answer"], b["truncated"])]
-        yield b[["ask_id", "received_at", "defects"]]
+        both = [measured(q, i, a, None if t is None or pd.isna(t) else bool(t)) for q, i, a, t in zip(b["pregunta"], b["idioma"], b["answer"], b["truncated"])]
+        b["v"] = [{"defects": d, "coverage": c} for d, c in both]
+        yield b[["ask_id", "received_at", "v"]]
 
 
 def flag_pairs(asks: DataFrame) -> DataFrame:
-    """(ask_id, defects) of every pair; a sound pair has the empty array.
-
-    Repeated rows of an ask count once, the one received last wins; rows without
-    an ask_id give none.  Null answers are empty, null questions cannot be copied,
-    null languages mean Spanish, null flags prove nothing.
+    """(ask_id, defects, coverage) of every pair; a sound pair has the empty array.
+
+    coverage: the share of the answer's characters inside stretches of the
+    question, by its suffix automaton; 0 for null and empty texts.  Repeated rows
+    of an ask count once, the one received last wins, ties go to the greater
+    result; rows without an ask_id give none.  Null answers are empty, null
+    questions cannot be copied, null languages mean Spanish, null flags prove
+    nothing.
     """
     rows = asks.where(F.col("ask_id").isNotNull()).select("ask_id", "received_at", "pregunta", "idioma", "answer", "truncated")
-    found = spread(rows, "ask_id").mapInPandas(_flag, OUT)
-    return found.groupBy("ask_id").agg(F.max_by("defects", F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp")), F.size("defects"))).alias("defects"))
+    return latest(spread(rows, "ask_id").mapInPandas(_flag, OUT), ["ask_id"], "v", "received_at").select("ask_id", "v.defects", "v.coverage")
 
 
 def found(asks: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sillar.llm.syntax.glr import compile_grammar, recognise
 from sillar.llm.syntax.grammars import GRAMMARS
-from sillar.llm.syntax.lexers import BAD, LEXERS
+from sillar.llm.syntax.lexers import BAD, LEXERS, variants
 from sillar.sources.tables import extension, latest, spread
 
 VERDICT = "project_id string, path string, language string, ingested_at timestamp, verdict struct<valid:boolean,line:int,kind:string>"
@@ -34,9 +34,14 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
     kind: ``lexical`` where no token begins, ``end`` where the text stops too
     soon, ``merge`` at a merge mark, else ``syntax``.  A leading byte-order mark
     is skipped; an empty text is valid except in Go and Java-like grammars that
-    ask for something.
+    ask for something.  Of conditional compilation every branch is parsed, each in
+    a text of its own (``variants``); the first line with an error counts.
     """
-    text = text.removeprefix("﻿")
+    errors = [e for t in variants(text.removeprefix("﻿"), language) if (e := _error(t, language))]
+    return min(errors, default=None)
+
+
+def _error(text: str, language: str) -> tuple[int, str] | None:
     t = tables(language)
     tokens, offsets, breaks = LEXERS[language](text, t.terms)
     insert = None

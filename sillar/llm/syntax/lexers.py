@@ -35,23 +35,92 @@ _FORMS = {
 }
 
 
-def _conditionals(text: str) -> str:
-    """Preprocessor text with the branches after the first blanked out."""
-    if not re.search(r"(?m)^[ \t]*#[ \t]*el", text):
-        return text
-    out, stack = [], []
-    for line in text.split("\n"):
-        m = re.match(r"[ \t]*#[ \t]*(if|ifdef|ifndef|el\w+|endif)\b", line)
-        word = m and m[1]
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b([^\n]*)")
+_PREPROCESSED = ("c", "cpp", "c_sharp")
+
+
+def _condition(word: str, rest: str) -> tuple[str | None, bool]:
+    """(what a branch depends on, the value it asks for); None where the value is fixed."""
+    rest = re.sub(r"//.*|/\*.*?\*/", "", rest).strip().rstrip("\\").strip()
+    wanted = word not in ("ifndef", "elifndef")
+    if word in ("if", "elif"):
+        while m := re.fullmatch(r"!\s*(defined\b.*|\w+|\(.*\))", rest):
+            rest, wanted = m[1].strip(), not wanted
+        if m := re.fullmatch(r"defined\s*\(?\s*(\w+)\s*\)?", rest):
+            rest = m[1]
+        elif rest in ("0", "false"):
+            return None, not wanted
+        elif rest in ("1", "true"):
+            return None, wanted
+    return rest, wanted
+
+
+def variants(text: str, language: str):
+    """The texts that conditional compilation may leave, until every branch was in one of them.
+
+    Each text assumes one value for each condition throughout, so halves of a
+    construct that stand under the same condition stay together.  Lines keep their
+    numbers.  Branches that no values leave (``#if 0``) are never compiled and
+    stay unread.
+    """
+    if language not in _PREPROCESSED or "#" not in text:
+        yield text
+        return
+    lines = text.split("\n")
+    marks = [(i, m[1], m[2]) for i, x in enumerate(lines) if "#" in x and (m := _DIRECTIVE.match(x))]
+    # groups: the lines of their branches' marks, and the groups inside each branch
+    groups: list[list[tuple[int, str | None, bool]]] = []
+    inside: dict[tuple[int, int], list[int]] = {}
+    open_: list[int] = []
+    for i, word, rest in marks:
         if word in ("if", "ifdef", "ifndef"):
-            stack.append(False)
+            at = len(groups)
+            groups.append([(i, *_condition(word, rest))])
+            inside.setdefault((open_[-1], len(groups[open_[-1]]) - 1) if open_ else (-1, 0), []).append(at)
+            open_.append(at)
         elif word == "endif":
-            if stack:
-                stack.pop()
-        elif word and stack:
-            stack[-1] = True
-        out.append("" if any(stack) and not word else line)
-    return "\n".join(out)
+            if open_:
+                groups[open_.pop()].append((i, "", False))
+        elif open_:
+            groups[open_[-1]].append((i, None, True) if word == "else" else (i, *_condition(word, rest)))
+    for at in open_:
+        groups[at].append((len(lines), "", False))
+    unread = {(g, k) for g, branches in enumerate(groups) for k in range(len(branches) - 1)}
+
+    def waits(g, k):
+        return (g, k) in unread or any(waits(x, y) for x in inside.get((g, k), ()) for y in range(len(groups[x]) - 1))
+
+    while True:
+        values: dict[str, bool] = {}
+        out, read = list(lines), set()
+        todo = list(reversed(inside.get((-1, 0), [])))
+        while todo:
+            g = todo.pop()
+            branches = groups[g]
+            aim = next((k for k in range(len(branches) - 1) if waits(g, k)), None)
+            picked = None
+            for k in range(len(branches) - 1):
+                _, on, wanted = branches[k]
+                if on is None:
+                    true = wanted
+                else:
+                    value = values.setdefault(on, wanted if aim is None or k == aim else not wanted)
+                    true = value == wanted
+                if true and picked is None:
+                    picked = k
+                    read.add((g, k))
+                    todo += reversed(inside.get((g, k), []))
+                    break
+            for k in range(len(branches) - 1):
+                if k != picked:
+                    a, b = branches[k][0] + 1, branches[k + 1][0]
+                    out[a:b] = [""] * (b - a)
+        if not read & unread and len(unread) < sum(len(b) - 1 for b in groups):
+            return
+        unread -= read
+        yield "\n".join(out)
+        if not unread:
+            return
 
 
 _CPP_LINE = r"(?:(?<=\n)|(?<![\s\S]))[ \t]*#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|region|endregion|nullable|import)?\b[^\n]*(?:(?<=\\)\n[^\n]*|(?<=\\\r)\n[^\n]*)*"
@@ -59,7 +128,7 @@ _CPP_LINE = r"(?:(?<=\n)|(?<![\s\S]))[ \t]*#[ \t]*(?:include|define|undef|if|ifd
 
 def _plain(language: str):
     skip, num, string, char, ops = _FORMS[language]
-    if language in ("c", "cpp", "c_sharp"):
+    if language in _PREPROCESSED:
         skip = rf"{_CPP_LINE}|{skip}"
     ident = {"rust": r"'(?!\w')" + _IDENT + r"|r\#" + _IDENT + "|" + _IDENT, "c_sharp": "@?" + _IDENT, "java": r"[^\W\d][\w$]*|\$[\w$]*"}.get(language, _IDENT)
     order = rf"(?P<skip>{skip})|(?P<nl>\n)|(?P<str>{string})|(?P<chr>{char})|(?P<id>{ident})|(?P<num>{num})|(?P<op>{ops})|(?P<bad>[\s\S])"
@@ -67,11 +136,8 @@ def _plain(language: str):
         order = order.replace("(?P<bad>", r"(?P<nest>/\*)|(?P<bad>").replace(rf"(?P<op>{ops})", rf"(?P<op>(?!/\*)(?:{ops}))")
     scan = re.compile(order)
     go = language == "go"
-    preprocess = language in ("c", "cpp", "c_sharp")
 
     def lex(text, terms):
-        if preprocess:
-            text = _conditionals(text)
         ID, NUM, STR, CHR = terms.get("ID", BAD), terms.get("NUM", BAD), terms.get("STR", BAD), terms.get("CHR", BAD)
         LIFE = terms.get("LIFE", BAD)
         toks, offs = [], []

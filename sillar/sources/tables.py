@@ -27,10 +27,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def latest(df: DataFrame, keys: list[str], value: str, time: str = "ingested_at") -> DataFrame:
     """One row per key with the value of its latest row; rows without a time count as oldest.
 
-    ``value`` must be small (a verdict, not a text): partial aggregation keeps one
-    per key and task, and a hot key costs one row a task.
+    Of rows of one time the greatest value stays, so the result does not depend on
+    the order of rows.  ``value`` must be small (a verdict, not a text) and of a
+    type that can be ordered: partial aggregation keeps one per key and task, and
+    a hot key costs one row a task.
     """
-    return df.groupBy(*keys).agg(F.max_by(value, F.coalesce(F.col(time), F.lit("0001-01-01").cast("timestamp"))).alias(value))
+    at = F.coalesce(F.col(time), F.lit("0001-01-01").cast("timestamp"))
+    return df.groupBy(*keys).agg(F.max(F.struct(at.alias("at"), F.col(value).alias("value"))).alias("_l")).select(*keys, F.col("_l.value").alias(value))
 
 
 def extension(path) -> F.Column:
